@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def clean() -> None:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts sum up to limit bytes, or of one row."""
-    sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    sizes = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
