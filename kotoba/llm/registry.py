@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, quality
+from . import bpe, chat, licenses, line_dedup, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_mixing": mixing.op4_mixing,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
+    "op4_mixing": mixing.OP4_SQL,
+    "op10_license_scan": licenses.OP10_SQL,
 }
