@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, line_dedup, mixing, quality
+from . import bpe, chat, html, licenses, line_dedup, mixing, mtree, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_chat_format": chat.op3_chat_format,
     "op4_mixing": mixing.op4_mixing,
+    "op5_html_text": html.op5_html_text,
+    "op6_top_k": mtree.op6_top_k,
     "op7_quality_rules": quality.op7_quality_rules,
     "op10_license_scan": licenses.op10_license_scan,
 }
@@ -23,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
+    "op6_top_k": mtree.OP6_SQL,
     "op10_license_scan": licenses.OP10_SQL,
 }
