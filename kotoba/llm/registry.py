@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, licenses, line_dedup, mixing, mtree, quality
+from . import bpe, chat, html, jaccard, licenses, line_dedup, mixing, mtree, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "op5_html_text": html.op5_html_text,
     "op6_top_k": mtree.op6_top_k,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
@@ -26,5 +27,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op6_top_k": mtree.OP6_SQL,
+    "op9_jaccard_join": jaccard.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
 }
