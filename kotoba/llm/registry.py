@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, jaccard, licenses, line_dedup, mixing, mtree, quality
+from . import bpe, chat, html, jaccard, licenses, line_dedup, mixing, mtree, quality, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {
     "op5_html_text": html.op5_html_text,
     "op6_top_k": mtree.op6_top_k,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
 }
