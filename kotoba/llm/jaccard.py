@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -317,6 +318,16 @@ def similar_documents(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_
     )
 
 
+def one_of_each(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
+    """The rows of docs that stay when of each class of similar documents only the one with the smallest id does; of
+    rows with the same id the one whose text has the smallest hash."""
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
+    stay = written(similar_documents(docs, p, doc_id, text).where("doc_id <=> class_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key")).distinct(), "stay")
+    kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
+    first = Window.partitionBy("__key").orderBy(F.xxhash64(F.col(text)))
+    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class and the number of its links."""
     return similar_documents(table(spark, sf_dir, "documents"))

@@ -1,8 +1,9 @@
 """Operator 4: mixing sources to target weights, in DataFrame functions alone.
 
-Iterative proportional fitting (raking): every cell (source, language, topic) gets a weight a_source * b_language *
-c_topic such that the weighted tokens meet the target share of each source, each language and each topic. Documents
-are then sampled by the calibrated probability w / max(w): expected tokens of the sample have the target shares.
+Iterative proportional fitting (raking) with an upper bound: every cell (source, language, topic) gets a probability
+min(1, a_source * b_language * c_topic) such that the tokens expected in the sample are `rate` of all and meet the target
+share of each source, each language and each topic. Where there is less than a target asks for, all of it is taken.
+Documents are then sampled by the probability of their cell.
 
 Sources may be many; languages and topics are declared lists (others count as OTHER). So the factors of languages and
 topics are a few numbers in the plan, those of sources are computed where the source's cells are, and each round is one
@@ -11,7 +12,7 @@ counted by partial sums, so a hot source is a few rows in the shuffle. Weights r
 broadcast only where the counted cells are few, else by a shuffle that splits skew.
 
 Defined results: null sources, languages and texts count as '', OTHER and no tokens; a document without tokens has the
-weight of its cell; cells, languages or topics without tokens have no part in the fit, and targets are scaled to what
+probability of its cell; cells, languages or topics without tokens have no part in the fit, and targets are scaled to what
 is there; an empty table gives an empty result; rows with the same id share their fate; extra columns stay, but for
 those named as the columns of results, which are replaced.
 """
@@ -41,7 +42,9 @@ class Targets:
     source_power: float = 0.7
     languages: Mapping[str, float] = field(default_factory=lambda: {"en": 0.5, "de": 0.17, "fr": 0.17, "es": 0.13, OTHER: 0.03})
     topics: Mapping[str, float] = field(default_factory=lambda: {"general": 0.8, "legal": 0.06, "contact": 0.1, "tabular": 0.04})
+    rate: float = 0.5  # tokens expected in the sample, of all
     iterations: int = 12
+    inner: int = 4  # steps by which a source's factor settles in each round
 
 
 def topic_of(text: Column) -> Column:
@@ -81,43 +84,52 @@ def _scaled(shares: Mapping[str, float], present: Mapping[str, float]) -> dict[s
 
 def cell_weights(rows: DataFrame, targets: Targets) -> DataFrame:
     """(source, lang, topic, weight, probability) of every cell of marked rows."""
-    spark = rows.sparkSession
     cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").cast("double").alias("tokens"))
     # a source has a cell for each declared language and topic at most
-    by_source = cells.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("lang", "topic", "tokens"))).alias("cells"), F.sum("tokens").alias("tokens"))
+    by_source = cells.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("lang", "topic", "tokens"))).alias("cells"), F.sum("tokens").alias("supply"))
     sources = written(by_source, "sources")
 
     named = dict(targets.sources)
     pairs = sources.select(F.inline("cells")).groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).collect()
     langs, topics = ({k: sum(r["tokens"] for r in pairs if r[by] == k) for k in sorted({r[by] for r in pairs})} for by in ("lang", "topic"))
-    total = sum(langs.values())
+    budget = sum(langs.values()) * targets.rate
     share_of = _pick(named, F.col("source"))
     is_named = F.col("source").isin(*named) if named else F.lit(False)
-    some = F.col("tokens") > 0
-    free = F.when(some & ~is_named, F.pow("tokens", F.lit(targets.source_power))).otherwise(0.0)
+    some = F.col("supply") > 0
+    free = F.when(some & ~is_named, F.pow("supply", F.lit(targets.source_power))).otherwise(0.0)
     sums = sources.agg(F.sum(F.when(some & is_named, share_of).otherwise(0.0)).alias("named"), F.sum(free).alias("free")).collect()[0]
     given, spare = sums["named"] or 0.0, sums["free"] or 0.0
     rest = max(0.0, 1.0 - given) if spare else 0.0
-    target = F.when(some & is_named, share_of / F.lit(given + rest or 1.0)).otherwise(free * F.lit(rest / (spare or 1.0) / (given + rest or 1.0)))
+    share = F.when(some & is_named, share_of / F.lit(given + rest or 1.0)).otherwise(free * F.lit(rest / (spare or 1.0) / (given + rest or 1.0)))
+    target = share * F.lit(budget)
 
     want_l, want_t = _scaled(targets.languages, langs), _scaled(targets.topics, topics)
     b, c = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
 
     def factor(b: dict[str, float], c: dict[str, float]) -> Column:
-        held = F.aggregate("cells", F.lit(0.0), lambda s, x: s + x["tokens"] * _pick(b, x["lang"]) * _pick(c, x["topic"]))
-        return F.when(held > 0, target * F.lit(total) / held).otherwise(F.lit(0.0))
+        """A source's factor, given those of languages and topics: a few steps towards its target."""
+        bc = lambda x: _pick(b, x["lang"]) * _pick(c, x["topic"])
+        free = F.aggregate("cells", F.lit(0.0), lambda s, x: s + bc(x) * x["tokens"])
+        first = F.when(free > 0, target / free).otherwise(F.lit(0.0))
 
-    for _ in range(targets.iterations if total else 0):
-        now = sources.select(factor(b, c).alias("a"), "cells").select("a", F.inline("cells")).groupBy("lang", "topic").agg(F.sum(F.col("a") * F.col("tokens")).alias("m")).collect()
+        def step(a: Column, _: Column) -> Column:
+            held = F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.least(F.lit(1.0), a * bc(x)) * x["tokens"])
+            return F.coalesce(a * target / F.nullif(held, F.lit(0.0)), F.lit(0.0))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(targets.inner)), first, step)
+
+    weight = lambda b, c: F.col("a") * (_pick(b, F.col("lang")) * _pick(c, F.col("topic")))
+    for _ in range(targets.iterations if budget else 0):
+        held = sources.select(factor(b, c).alias("a"), "cells").select("a", F.inline("cells"))
+        now = held.groupBy("lang", "topic").agg(F.sum(F.least(F.lit(1.0), weight(b, c)) * F.col("tokens")).alias("m")).collect()
         m = {(r["lang"], r["topic"]): r["m"] for r in sorted(now, key=lambda r: (r["lang"], r["topic"]))}
-        held = {x: sum(v * c[k] for (y, k), v in m.items() if y == x) for x in b}
-        b = {x: want_l.get(x, 0.0) * total / held[x] if held[x] > 0 else 0.0 for x in b}
-        held = {x: sum(v * b[k] for (k, y), v in m.items() if y == x) for x in c}
-        c = {x: want_t.get(x, 0.0) * total / held[x] if held[x] > 0 else 0.0 for x in c}
-    out = sources.select("source", factor(b, c).alias("a"), F.inline("cells")).select("source", "lang", "topic", (F.col("a") * _pick(b, F.col("lang")) * _pick(c, F.col("topic"))).alias("weight"), "tokens")
-    top = out.where("tokens > 0").agg(F.max("weight")).collect()[0][0] or 0.0
-    chance = F.when(F.lit(top) > 0, F.col("weight") / F.lit(top or 1.0)).otherwise(F.lit(0.0))
-    return out.select("source", "lang", "topic", "weight", chance.alias("probability"))
+        sums_l = {x: sum(v for (y, _), v in m.items() if y == x) for x in b}
+        steps = {x: want_l.get(x, 0.0) * budget / sums_l[x] if sums_l[x] > 0 else 0.0 for x in b}
+        sums_t = {x: sum(v * steps[k] for (k, y), v in m.items() if y == x) for x in c}
+        b = {x: b[x] * steps[x] for x in b}
+        c = {x: c[x] * (want_t.get(x, 0.0) * budget / sums_t[x] if sums_t[x] > 0 else 0.0) for x in c}
+    out = sources.select("source", factor(b, c).alias("a"), F.inline("cells")).select("source", "lang", "topic", weight(b, c).alias("weight"))
+    return out.withColumn("probability", F.least(F.lit(1.0), F.col("weight")))
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -139,9 +151,9 @@ def mix(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its calibrated weight and whether it is sampled."""
+    """Every document with its calibrated probability and whether it is sampled."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
 def _sql(targets: Targets = Targets(), seed: str = "mix") -> str:  # noqa: B008
@@ -149,28 +161,33 @@ def _sql(targets: Targets = Targets(), seed: str = "mix") -> str:  # noqa: B008
     topics = ", ".join(f"('{k}', {float(v)!r}::DOUBLE)" for k, v in targets.topics.items())
     known = ", ".join(f"'{x}'" for x in targets.languages if x != OTHER)
     topic = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{name}'" for name, p in TOPICS[:-1])
-    steps, n = [], 0
-    for _ in range(targets.iterations + 1):
-        for by in ("source", "lang", "topic") if len(steps) < 3 * targets.iterations else ("source",):
-            steps.append(
-                f"c{n + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, w * coalesce(t.share * total / nullif(sum(w * tokens) OVER (PARTITION BY c.{by}), 0), 0) AS w "
-                f"FROM c{n} c LEFT JOIN want_{by} t ON t.k = c.{by}, whole)"
-            )
-            n += 1
+    steps = []
+    for k in range(targets.iterations + 1):
+        steps.append(f"x{k} AS MATERIALIZED (SELECT c0.*, w.share * budget AS target, b * c AS bc FROM c0 JOIN b{k} USING (lang) JOIN t{k} USING (topic) JOIN want_source w ON w.k = source, whole)")
+        steps.append(f"a{k}_0 AS MATERIALIZED (SELECT source, coalesce(any_value(target) / nullif(sum(bc * tokens), 0), 0) AS a FROM x{k} GROUP BY source)")
+        for i in range(targets.inner):
+            steps.append(f"a{k}_{i + 1} AS MATERIALIZED (SELECT source, coalesce(any_value(a) * any_value(target) / nullif(sum(least(1.0, a * bc) * tokens), 0), 0) AS a FROM x{k} JOIN a{k}_{i} USING (source) GROUP BY source)")
+        if k < targets.iterations:
+            steps.append(f"m{k} AS MATERIALIZED (SELECT lang, topic, sum(least(1.0, a * bc) * tokens) AS m FROM x{k} JOIN a{k}_{targets.inner} USING (source) GROUP BY lang, topic)")
+            steps.append(f"r{k} AS MATERIALIZED (SELECT lang, coalesce(coalesce(any_value(w.share), 0) * any_value(budget) / nullif(sum(m), 0), 0) AS r FROM m{k} LEFT JOIN want_lang w ON w.k = lang, whole GROUP BY lang)")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT lang, b * r AS b FROM b{k} JOIN r{k} USING (lang))")
+            steps.append(f"t{k + 1} AS MATERIALIZED (SELECT topic, any_value(c) * coalesce(coalesce(any_value(w.share), 0) * any_value(budget) / nullif(sum(m * r), 0), 0) AS c FROM m{k} JOIN r{k} USING (lang) JOIN t{k} USING (topic) LEFT JOIN want_topic w ON w.k = topic, whole GROUP BY topic)")
+    last = targets.iterations
     return f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, source, lang, coalesce(source, '') AS s, CASE WHEN lang IN ({known}) THEN lang ELSE '{OTHER}' END AS l,
     CASE {topic} ELSE '{TOPICS[-1][0]}' END AS topic, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
   FROM documents
-), c0 AS MATERIALIZED (SELECT s AS source, l AS lang, topic, sum(n_tokens)::DOUBLE AS tokens, 1.0::DOUBLE AS w FROM d GROUP BY ALL),
-whole AS (SELECT sum(tokens) AS total FROM c0),
+), c0 AS MATERIALIZED (SELECT s AS source, l AS lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
+whole AS (SELECT sum(tokens) * {targets.rate} AS budget FROM c0),
+b0 AS (SELECT DISTINCT lang, 1.0::DOUBLE AS b FROM c0), t0 AS (SELECT DISTINCT topic, 1.0::DOUBLE AS c FROM c0),
 want_source AS MATERIALIZED (SELECT source AS k, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {targets.source_power}) ELSE 0 END / sum(CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {targets.source_power}) ELSE 0 END) OVER () AS share FROM c0 GROUP BY source),
 want_lang AS MATERIALIZED (SELECT k, share / sum(share) OVER () AS share FROM (VALUES {langs}) AS v(k, share) WHERE k IN (SELECT lang FROM c0 GROUP BY lang HAVING sum(tokens) > 0)),
 want_topic AS MATERIALIZED (SELECT k, share / sum(share) OVER () AS share FROM (VALUES {topics}) AS v(k, share) WHERE k IN (SELECT topic FROM c0 GROUP BY topic HAVING sum(tokens) > 0)),
-{', '.join(steps)}, top AS (SELECT max(w) AS m FROM c{n} WHERE tokens > 0)
-SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(w, 6) AS weight, round(w / m, 6) AS probability,
-  ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {float(16**13)!r} < w / m AS sampled
-FROM d JOIN c{n} c ON c.source = d.s AND c.lang = d.l AND c.topic = d.topic, top
+{', '.join(steps)}, chances AS (SELECT x.source, x.lang, x.topic, least(1.0, a * bc) AS p FROM x{last} x JOIN a{last}_{targets.inner} USING (source))
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(p, 6) AS probability,
+  ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {float(16**13)!r} < p AS sampled
+FROM d JOIN chances c ON c.source = d.s AND c.lang = d.l AND c.topic = d.topic
 """
 
 

@@ -136,14 +136,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def keep_documents(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """The rows of docs whose document the rules keep, with all their columns and whole texts. The verdict is a
-    function of the text alone, so rows are judged where they are, without a join."""
+def clean_documents(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:  # noqa: B008
+    """The rows of docs whose document the rules keep, with all their columns and the text without the lines that
+    fail. All this is a function of the text alone, so rows are judged where they are, without a shuffle."""
     bounded_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer = Scorer(rules)
-        return batch.filter(pa.array([scorer.score(x)[6] for x in batch.column(text).to_pylist()], pa.bool_()))
+        scored = list(map(Scorer(rules).score, batch.column(text).to_pylist()))
+        texts = pa.array([x[10] for x in scored], pa.string())
+        whole = pa.RecordBatch.from_arrays([texts if c == text else batch.column(c) for c in names], names)
+        return whole.filter(pa.array([x[6] for x in scored], pa.bool_()))
 
-    return docs.mapInArrow(per_slice(run, text), schema).select(*names)
+    return docs.mapInArrow(per_slice(run, text), schema)
