@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from conftest import SF
+from common import SF
 
 from kotoba import queries as q
 from kotoba.functions import unicode as u
