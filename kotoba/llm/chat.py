@@ -81,9 +81,10 @@ def record_paths(record: Column) -> Column:
     fields = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
 
     def inner(name: Column) -> Column:
-        items = F.from_json(F.get_json_object(record, F.concat(F.lit("$."), name)), "array<string>")
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$."), name))
+        items = F.from_json(value, "array<string>")
         objects = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
-        is_array = F.substring(F.ltrim(F.get_json_object(record, F.concat(F.lit("$."), name))), 1, 1) == "["
+        is_array = F.substring(F.ltrim(value), 1, 1) == "["
         found = F.concat(F.array(F.concat(name, F.lit("[]"))), F.transform(F.array_distinct(objects), lambda x: F.concat(name, F.lit("[]."), x)))
         return F.concat(F.array(name), F.when(is_array, F.coalesce(found, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
 

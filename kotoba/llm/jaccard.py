@@ -252,6 +252,8 @@ def exact_links(groups: DataFrame, p: Params) -> DataFrame:
     def count(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
         ids = rows.column("id").to_numpy()
+        once = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])  # a row may be repeated
+        rows, ids = rows.take(pa.array(once)), ids[once]
         copies = rows.column("copies").to_numpy()
         sets, at = shingle_sets(rows.column("text").to_pylist(), p.shingle)
         same = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
@@ -289,8 +291,9 @@ def similar_documents(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_
     rows = written(prepared(keyed, p), "sets")
     node = F.coalesce("doc_id", F.lit(NULL_ID))
     some = rows.where("n > 0")
-    least = some.groupBy("k1", "k2").agg(F.min(F.struct(node.alias("id"), "th", "tokens", "sketch")).alias("x"), F.count("*").alias("copies"))
-    classes = written(least.select("k1", "k2", "copies", "x.*"), "classes")
+    least = some.groupBy("k1", "k2").agg(F.min(F.struct(node.alias("id"), "th", "tokens", "sketch")).alias("x"))
+    copies = some.select("k1", "k2", node.alias("id")).distinct().groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    classes = written(least.join(copies, ["k1", "k2"]).select("k1", "k2", "copies", "x.*"), "classes")
     alone = classes.select("id", "tokens", "sketch")
 
     grouped = components(bucket_edges(alone, p)).withColumnRenamed("root", "grp")

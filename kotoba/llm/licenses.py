@@ -71,11 +71,12 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     """doc_id and matches array<struct<line_no, license, dice>> in order of lines, counted from 0."""
     sets = [(name, template_bigrams(body)) for name, body in templates]
     known = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, s)).alias("b"), F.lit(len(s)).alias("n")) for name, s in sets])
-    least = min(len(s) for _, s in sets) * threshold / (2 - threshold)
-    most = max(len(s) for _, s in sets) * (2 - threshold) / threshold
+    least = int(min(len(s) for _, s in sets) * threshold / (2 - threshold))
+    most = int(max(len(s) for _, s in sets) * (2 - threshold) / threshold) + 1
 
     def judged(line: Column) -> Column:
-        near = F.filter(known, lambda t: (line["n"] >= t["n"] * F.lit(threshold / (2 - threshold))) & (line["n"] <= t["n"] * F.lit((2 - threshold) / threshold)))
+        # the coefficient if the smaller set lay within the larger one
+        near = F.filter(known, lambda t: F.lit(2.0) * F.least(t["n"], line["n"]) / (t["n"] + line["n"]) >= F.lit(threshold))
         scored = F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(t["b"], line["b"])) / (t["n"] + line["n"])).alias("dice"), t["license"].alias("license")))
         # the highest coefficient first, ties to the smaller name
         best = F.array_min(F.transform(scored, lambda s: F.struct((-s["dice"]).alias("less"), s["license"].alias("license"))))
@@ -115,7 +116,7 @@ lines AS (
   SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM words WHERE len(w) > 1
 ), scored AS (
   SELECT doc_id, line_no, license, 2.0::DOUBLE * len(list_intersect(t.b, s.b)) / (len(t.b) + len(s.b)) AS dice
-  FROM sets s JOIN templates t ON len(s.b) >= len(t.b) * {THRESHOLD / (2 - THRESHOLD)!r} AND len(s.b) <= len(t.b) * {(2 - THRESHOLD) / THRESHOLD!r}
+  FROM sets s JOIN templates t ON 2.0::DOUBLE * least(len(s.b), len(t.b)) / (len(s.b) + len(t.b)) >= {THRESHOLD}
 ), best AS (
   SELECT doc_id, line_no, license, dice FROM scored WHERE dice >= {THRESHOLD}
   QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license) = 1

@@ -181,8 +181,8 @@ SPANS = "doc_id long, th long, lo long, hi long"
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of pieces (anchor, off, multi, doc_id, th, at, piece) in order of anchor: whole anchors up to INDEX_BYTES at
-    a time."""
+    """Spans of pieces (anchor, off, multi, doc_id, th, at, piece) in order of anchor and place: whole anchors, up to
+    INDEX_BYTES at a time."""
     held: list[tuple] = []
     size, last = 0, None
 
@@ -193,6 +193,8 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "off", "multi", "doc_id", "th", "at", "piece")), strict=True):
+            if held and (row[0], *row[3:6]) == (held[-1][0], *held[-1][3:6]):
+                continue  # a repeated row of the same document
             if row[0] != last and size >= INDEX_BYTES:
                 yield done()
                 held, size = [], 0
@@ -239,7 +241,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     some = joined.mapInArrow(per_slice(cut), "anchor long, off int, multi boolean, hot boolean, doc_id long, th long, at long, piece binary")
-    cold = some.where("NOT hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed, SPANS)
+    cold = some.where("NOT hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "th", "at").mapInArrow(_indexed, SPANS)
     found = whole.unionByName(cold)
     if several.where(F.col("c") > PIECES).isEmpty():
         return found
