@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 
@@ -11,34 +12,61 @@ from ..operators.features import END_MARK, MAX_WORD, PAD_ID, PAD_TYPE
 from ..schema import NOUN
 from ..sources.model import SEGMENTER_SHAPES, TAGGER_SHAPES, Vocabularies, check_vocabularies, check_weights
 
-#: Characters of a batch, padding included: bounds its memory.
+#: Characters of a batch, the padding of its decoding included: bounds its memory.
 BATCH_CHARS = 65_536
 LOW = -1e10
 BEGIN, END = 4, 5
 
 
-def lstm(x: np.ndarray, lengths: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, backward: bool = False) -> np.ndarray:
-    """States of sequences x (rows in descending order of length, padded). Gates in order input, forget (its bias one
-    more), output, candidate. A backward pass begins at each row's own end."""
-    rows, steps, _ = x.shape
-    hidden = wh.shape[0]
-    if backward:
-        place = np.where(np.arange(steps) < lengths[:, None], lengths[:, None] - 1 - np.arange(steps), np.arange(steps))
-        x = np.take_along_axis(x, place[:, :, None], axis=1)
-    z = x @ wx + b
-    z[:, :, hidden : 2 * hidden] += 1
-    h, c = np.zeros((rows, hidden), np.float32), np.zeros((rows, hidden), np.float32)
-    out = np.zeros((rows, steps, hidden), np.float32)
-    for t in range(steps):
-        n = int(np.searchsorted(-lengths, -t, "left"))
-        if n == 0:
-            break
-        a = z[:n, t] + h[:n] @ wh if t else z[:n, t]
-        gates = 1 / (1 + np.exp(-a[:, : 3 * hidden]))
-        c[:n] = gates[:, hidden : 2 * hidden] * c[:n] + gates[:, :hidden] * np.tanh(a[:, 3 * hidden :])
-        h[:n] = gates[:, 2 * hidden :] * np.tanh(c[:n])
-        out[:n, t] = h[:n]
-    return np.take_along_axis(out, place[:, :, None], axis=1) if backward else out
+def lstm(x: np.ndarray, lengths: np.ndarray, *sides: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """States of sequences that stand one after the other in x, in descending order of length: those of a forward pass
+    with the first side's weights (inputs, states, bias) and, if there is a second, of a backward one, next to each
+    other. Both passes take their steps together, and a step is a slice of what is still going on. Gates in order input,
+    forget (its bias one more), output, candidate."""
+    hidden = sides[0][1].shape[0]
+    starts = np.cumsum(lengths) - lengths
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    step = np.arange(len(x)) - starts[row]
+    forward = np.argsort(step, kind="stable")
+    places = [forward, (starts + lengths - 1)[row[forward]] - step[forward]][: len(sides)]
+    z = np.empty((len(sides), len(x), 4 * hidden), np.float32)
+    for k, ((wx, _, b), at) in enumerate(zip(sides, places, strict=True)):
+        bias = b.copy()
+        bias[hidden : 2 * hidden] += 1
+        z[k] = (x @ wx + bias)[at]
+    wh = np.stack([s[1] for s in sides])
+    going = np.searchsorted(-lengths, -np.arange(lengths[0]) if len(lengths) else [], "left")
+    c = np.zeros((len(sides), len(lengths), hidden), np.float32)
+    states = np.empty((len(sides), len(x), hidden), np.float32)
+    done = 0
+    for n in going.tolist():
+        a = z[:, done : done + n]
+        if done:
+            a += states[:, done - last : done - last + n] @ wh
+        gates = a[:, :, : 3 * hidden]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        candidate = a[:, :, 3 * hidden :]
+        np.tanh(candidate, out=candidate)
+        cell = c[:, :n]
+        cell *= gates[:, :, hidden : 2 * hidden]
+        candidate *= gates[:, :, :hidden]
+        cell += candidate
+        np.multiply(gates[:, :, 2 * hidden :], np.tanh(cell), out=states[:, done : done + n])
+        last, done = n, done + n
+    out = np.empty((len(x), len(sides) * hidden), np.float32)
+    for k, at in enumerate(places):
+        out[at, k * hidden : (k + 1) * hidden] = states[k]
+    return out
+
+
+def padded(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sequences one after the other as rows of equal length."""
+    out = np.zeros((len(lengths), lengths[0], flat.shape[1]), flat.dtype)
+    out[np.arange(lengths[0]) < lengths[:, None]] = flat
+    return out
 
 
 def viterbi_batch(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> list[list[int]]:
@@ -114,52 +142,55 @@ class Network:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_char_vectors": {}}
 
-    def _bilstm(self, name: str, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        w = self.weights
-        sides = [lstm(x, lengths, *(w[f"/{name}/vanilla-lstm-builder{s}/_{k}"].reshape(shape) for k, shape in ((0, (x.shape[2], -1)), (1, w[f"/{name}/vanilla-lstm-builder{s}/_1"].shape), (2, (-1,)))), backward=bool(s)) for s in ("", "_1")]
-        return np.concatenate(sides, axis=2)
-
-    def inputs(self, low: str) -> np.ndarray:
-        """The 200 features of each character of a lower-cased text."""
-        v, w, n = self.vocabularies, self.weights, len(low)
-        uni = np.array([PAD_ID, *(v.uni.get(c, v.uni["oov"]) for c in low), PAD_ID])
-        bi = np.array([PAD_ID, *(v.bi.get(low[i : i + 2] if i + 1 < n else low[i] + END_MARK, v.bi["oov"]) for i in range(n)), PAD_ID])
-        kind = np.array([PAD_TYPE, *char_types(low), PAD_TYPE])
-        get, oov = v.word.get, v.word["oov"]
-        starts: list[list[int]] = [[] for _ in range(n)]
-        ends: list[list[int]] = [[] for _ in range(n)]
-        for i in range(n):
-            for j in range(i, min(n, i + MAX_WORD)):
-                part = low[i : j + 1]
-                if part not in self._prefixes:
-                    break
-                if (found := get(part)) is not None:
-                    starts[i].append(found)
-                    ends[j].append(found)
+    def _sides(self, name: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        return [tuple(self.weights[f"/{name}/vanilla-lstm-builder{side}/_{k}"] for k in range(3)) for side in ("", "_1")]
+
+    def inputs(self, lows: list[str]) -> np.ndarray:
+        """The 200 features of each character of lower-cased texts, one text after the other."""
+        v, w = self.vocabularies, self.weights
+        uni, bi, kind, place = [], [], [], []
+        lists: tuple[list[list[int]], list[list[int]]] = ([], [])
+        get_uni, get_bi, get_word, prefixes, at = v.uni.get, v.bi.get, v.word.get, self._prefixes, 0
+        uni_oov, bi_oov, none = v.uni["oov"], v.bi["oov"], [v.word["oov"]]
+        for low in lows:
+            n = len(low)
+            uni += [PAD_ID, *[get_uni(c, uni_oov) for c in low], PAD_ID]
+            bi += [PAD_ID, *[get_bi(low[i : i + 2], bi_oov) for i in range(n - 1)], get_bi(low[-1] + END_MARK, bi_oov), PAD_ID]
+            kind += [PAD_TYPE, *char_types(low), PAD_TYPE]
+            place.append(np.arange(at, at + n))
+            at += n + 2
+            starts: list[list[int]] = [none] * n
+            ends: list[list[int]] = [none] * n
+            for i in range(n):
+                for j in range(i, min(n, i + MAX_WORD)):
+                    part = low[i : j + 1]
+                    if part not in prefixes:
+                        break
+                    if (found := get_word(part)) is not None:
+                        starts[i] = starts[i] + [found] if starts[i] is not none else [found]
+                        # the shorter word that ends here comes first
+                        ends[j] = [found] + ends[j] if ends[j] is not none else [found]
+            lists[0].extend(starts)
+            lists[1].extend(ends)
+        here = np.concatenate(place)
+        around = [table[np.array(ids)[here + d]] for table, ids in ((w["/_0"], uni), (w["/_1"], bi), (w["/_3"], kind)) for d in range(3)]
         sums = []
-        for lists, order in ((starts, 1), (ends, -1)):
-            total = np.zeros((n, w["/_2"].shape[1]), np.float32)
-            rows = [i for i, x in enumerate(lists) for _ in x or (0,)]
-            ids = [k for x in lists for k in (x[::order] or (oov,))]
-            np.add.at(total, rows, w["/_2"][ids])
-            sums.append(total)
-        around = [table[ids[d : d + n]] for table, ids in ((w["/_0"], uni), (w["/_1"], bi), (w["/_3"], kind)) for d in range(3)]
+        for each in lists:
+            sizes = np.array(list(map(len, each)))
+            sums.append(np.add.reduceat(w["/_2"][list(chain.from_iterable(each))], np.cumsum(sizes) - sizes))
         return np.concatenate([*around, *sums], axis=1)
 
     def tags(self, lows: list[str]) -> list[list[int]]:
         """BMES tags of lower-cased texts."""
         out: list[list[int]] = [[] for _ in lows]
         for group in batches([len(x) for x in lows]):
-            lengths = np.array([len(lows[i]) for i in group])
-            if not lengths[0]:
+            group = [i for i in group if lows[i]]
+            if not group:
                 continue
-            x = np.zeros((len(group), lengths[0], 200), np.float32)
-            for k, i in enumerate(group):
-                if lows[i]:
-                    x[k, : lengths[k]] = self.inputs(lows[i])
-            states = self._bilstm("birnn", x, lengths)
+            lengths = np.array([len(lows[i]) for i in group])
+            states = lstm(self.inputs([lows[i] for i in group]), lengths, *self._sides("birnn"))
             observed = (states @ self.weights["/_5"] + self.weights["/_6"]).astype(np.float64)
-            paths = viterbi_batch(observed, lengths, self.weights["/_7"].astype(np.float64))
+            paths = viterbi_batch(padded(observed, lengths), lengths, self.weights["/_7"].astype(np.float64))
             for i, path in zip(group, paths, strict=True):
                 out[i] = path
         return out
@@ -172,12 +203,11 @@ class Network:
         v, w = self.vocabularies, self.weights
         wid = v.word.get(word, v.word["oov"])
         own = w["/_2"][wid] if wid else np.zeros(w["/_2"].shape[1], np.float32)
-        spelt = w["/_0"][[v.uni.get(c, v.uni["oov"]) for c in word]][None]
-        one = np.array([len(word)])
-        part = lambda s: [w[f"/birnn_2/vanilla-lstm-builder{s}/_{k}"] for k in range(3)]
+        spelt = w["/_0"][[v.uni.get(c, v.uni["oov"]) for c in word]]
+        there, back = self._sides("birnn_2")
         # the state at the last character: the backward half has seen only that one
-        forward = lstm(spelt, one, *part(""))[0, -1]
-        backward = lstm(spelt[:, -1:], np.array([1]), *part("_1"))[0, 0]
+        forward = lstm(spelt, np.array([len(word)]), there)[-1]
+        backward = lstm(spelt[-1:], np.array([1]), back)[0]
         labels = np.zeros(w["/_4"].shape[1], np.float32)
         for i in candidates(v.word_tags.get(word, [0]), alnum(word)):
             if i:
@@ -191,18 +221,15 @@ class Network:
     def label_ids(self, texts: list[list[str]]) -> list[list[int]]:
         """Label ids of the words of each text; the first of equally good ones."""
         out: list[list[int]] = [[] for _ in texts]
-        for group in batches([len(x) for x in texts], BATCH_CHARS // 4):
-            lengths = np.array([len(texts[i]) for i in group])
-            if not lengths[0]:
+        for group in batches([len(x) for x in texts], BATCH_CHARS):
+            group = [i for i in group if texts[i]]
+            if not group:
                 continue
-            x = np.zeros((len(group), lengths[0], 64), np.float32)
-            for k, i in enumerate(group):
-                for t, word in enumerate(texts[i]):
-                    x[k, t] = self._word_vector(word)
-            scores = self._bilstm("birnn_1", x, lengths) @ self.weights["/_8"] + self.weights["/_9"]
-            best = scores.argmax(axis=2)
-            for k, i in enumerate(group):
-                out[i] = best[k, : lengths[k]].tolist()
+            lengths = np.array([len(texts[i]) for i in group])
+            x = np.stack([self._word_vector(word) for i in group for word in texts[i]])
+            best = (lstm(x, lengths, *self._sides("birnn_1")) @ self.weights["/_8"] + self.weights["/_9"]).argmax(axis=1)
+            for i, ids in zip(group, np.split(best, np.cumsum(lengths)[:-1]), strict=True):
+                out[i] = ids.tolist()
         return out
 
 

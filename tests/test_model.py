@@ -111,23 +111,26 @@ def _lstm(xs, wx, wh, b):
 
 def test_lstm_against_scalar_code():
     rng = np.random.default_rng(0)
-    wx, wh, b = (rng.normal(0, 0.5, x).astype(np.float32) for x in ((5, 12), (3, 12), (12,)))
-    x = rng.normal(0, 1, (3, 6, 5)).astype(np.float32)
-    lengths = np.array([6, 4, 1])
-    for backward in (False, True):
-        got = nn.lstm(x, lengths, wx, wh, b, backward)
-        for k, n in enumerate(lengths):
-            rows = x[k, :n][::-1] if backward else x[k, :n]
-            want = _lstm(rows, wx, wh, b)
-            want = want[::-1] if backward else want
-            np.testing.assert_allclose(got[k, :n], want, atol=1e-5)
+    sides = [tuple(rng.normal(0, 0.5, x).astype(np.float32) for x in ((5, 12), (3, 12), (12,))) for _ in range(2)]
+    lengths = np.array([6, 4, 4, 1])
+    x = rng.normal(0, 1, (15, 5)).astype(np.float32)
+    got = nn.lstm(x, lengths, *sides)
+    one = nn.lstm(x, lengths, sides[0])
+    at = 0
+    for n in lengths:
+        rows = x[at : at + n]
+        np.testing.assert_allclose(got[at : at + n, :3], _lstm(rows, *sides[0]), atol=1e-5)
+        np.testing.assert_allclose(got[at : at + n, 3:], _lstm(rows[::-1], *sides[1])[::-1], atol=1e-5)
+        np.testing.assert_allclose(one[at : at + n], got[at : at + n, :3], atol=1e-6)
+        at += n
 
 
 def test_features_of_places(net):
-    x = net.inputs("東京都a")
+    x = net.inputs(["a", "東京都a"])[1:]
     v, w = net.vocabularies, net.weights
     np.testing.assert_array_equal(x[0, :32], w["/_0"][1])
     np.testing.assert_array_equal(x[0, 32:64], w["/_0"][v.uni["東"]])
+    np.testing.assert_array_equal(x[3, 64:96], w["/_0"][1])
     np.testing.assert_array_equal(x[3, 128:144], w["/_1"][1])
     np.testing.assert_array_equal(x[3, 112:128], w["/_1"][v.bi.get("a<E>", v.bi["oov"])])
     np.testing.assert_array_equal(x[0, 144:152], w["/_3"][6])
