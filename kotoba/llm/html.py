@@ -1,8 +1,8 @@
 """Operator 5: the main text of a web page, by two-pass block rules.
 
 The page is cut into blocks at block-level tags. What the markup itself says comes first: blocks under navigation,
-headers, footers, sidebars, notices, adverts, forms or comments are bad, blocks of an article are good. The others
-are classified by length, stop-word density and link density as good, bad, near good or short; in the second pass the
+headers, footers, sidebars, notices, adverts, forms or comments are bad, blocks of an article are good (of what a class
+calls so, if there is no such tag). Where the markup says neither, blocks are classified by length, stop-word density and link density as good, bad, near good or short; in the second pass the
 ambiguous ones take the label of their nearest decided neighbours, and headings that of what follows.
 
 Defined results: null and empty pages, and pages without main text, give ''; white space within a block becomes one
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .runtime import bounded_batches, per_slice, table
 
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
+#: Says of a block that a class or id calls what holds it an article or its content.
+NAMED = "named"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
@@ -37,15 +39,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEFT_OUT = frozenset("head nav footer aside form button select option datalist script style noscript iframe svg canvas object applet template dialog menu textarea audio video map math search".split())
 ARTICLE = frozenset("article main".split())
 ROLES_LEFT_OUT = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of a class or id that tell what is no main text, and those that tell the opposite.
-NAMES_LEFT_OUT = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead banner ad ads adv advert adverts advertisement advertising sponsor "
-    "sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
-    "social share sharing related recommended recommendations comment comments disqus respond reply replies pagination pager widget widgets toolbar "
-    "login signup search skip teaser outbrain taboola".split()
-)
+#: Words of a class or id (or how they begin) that tell what is no main text, and those that tell the opposite.
+NAMES_LEFT_OUT = re.compile(
+    r"(?:ad|ads|adv|aside|skip|teaser|teasers|pager|tools|signup|login|search|alert|reply|replies|respond)$"
+    r"|advert|banner|breadcrumb|comment|consent|cookie|disqus|footer|gdpr|masthead|menu|modal|nav|newsletter|notice|notification|outbrain|overlay|pagination|"
+    r"popup|promo|recommend|related|share|sharing|sidebar|social|sponsor|subscri|taboola|toolbar|widget"
+).match
 NAMES_HEADER = frozenset("header topbar".split())
-NAMES_ARTICLE = frozenset("article post entry story content main body text maincontent articlebody".split())
+NAMES_ARTICLE = frozenset("article post entry story content main body text maincontent articlebody postcontent entrycontent".split())
 #: Frequent words of four languages.
 STOP_WORDS = frozenset(
     "the of and a to in is was for on that with by are this be at from it as an or not but his her they which have had were "
@@ -81,7 +82,7 @@ class Block:
 
 
 def _says(name: str, rest: str, in_article: bool) -> str:
-    """What a start tag says of what it holds: GOOD, BAD or ''."""
+    """What a start tag says of what it holds: GOOD, NAMED, BAD or ''."""
     if name in LEFT_OUT:
         return BAD
     if name == "header" and not in_article:
@@ -96,18 +97,17 @@ def _says(name: str, rest: str, in_article: bool) -> str:
     if name in ("html", "body"):
         return ""
     if name in ARTICLE or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articlebody":
-        words = set(NAME_WORDS.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
-        return BAD if words & {"comment", "comments", "reply"} and name == "article" else GOOD
+        words = NAME_WORDS.findall(attributes.get("class", "") + " " + attributes.get("id", ""))
+        return BAD if any(x.startswith(("comment", "reply", "teaser", "related", "promo")) for x in words) else GOOD
     if attributes.get("role") in ROLES_LEFT_OUT:
         return BAD
     named = set(NAME_WORDS.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
-    if named & {"comment", "comments", "sidebar"} and not named & {"no", "with", "has"}:
-        return BAD
-    if named & NAMES_ARTICLE:
-        return ""
-    if named & NAMES_LEFT_OUT or not in_article and named & NAMES_HEADER:
+    left_out = any(map(NAMES_LEFT_OUT, named))
+    if left_out and (any(x.startswith(("comment", "sidebar")) for x in named) and not named & {"no", "with", "has"}):
         return BAD
-    return ""
+    if named & NAMES_ARTICLE and name in BLOCK:
+        return "" if left_out else NAMED
+    return BAD if left_out or not in_article and named & NAMES_HEADER else ""
 
 
 def blocks(html: str) -> list[Block]:
@@ -197,8 +197,9 @@ def blocks(html: str) -> list[Block]:
             continue
         if name == "a":
             links += 1
-        in_article = any(s == GOOD for _, s in stack)
-        said = BAD if says == BAD else _says(name, found["rest"], in_article) or says
+        said = BAD if says == BAD else _says(name, found["rest"], says in (GOOD, NAMED)) or says
+        if said == NAMED and says == GOOD:
+            said = GOOD
         stack.append((name, said))
         says = said
         if name in BLOCK:
@@ -210,7 +211,7 @@ def blocks(html: str) -> list[Block]:
 def first_pass(block: Block) -> str:
     if block.label == BAD:
         return BAD
-    if block.label == GOOD:
+    if block.label in (GOOD, NAMED):
         return BAD if block.tag == "li" and block.links() > MAX_LINKS_IN_ARTICLE else GOOD
     if block.links() > MAX_LINKS:
         return BAD
@@ -249,8 +250,9 @@ def second_pass(found: list[Block], labels: list[str]) -> list[str]:
 
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    if any(b.label == GOOD for b in found):  # the page says what its article is
-        labels = [first_pass(b) if b.label else BAD for b in found]
+    said = next((x for x in (GOOD, NAMED) if any(b.label == x for b in found)), "")
+    if said:  # the page says what its article is
+        labels = [first_pass(b) if b.label == said else BAD for b in found]
     else:
         labels = [first_pass(b) for b in found]
         if GOOD not in labels:  # nothing is certain: the long blocks are

@@ -200,6 +200,8 @@ PAGES = [
     ('<main><p>a</p><script>var x = "</p><p>no</p>";</script><!-- <p>no</p> --><aside>no</aside><p hidden>no</p><p>b<br>c</main>', "a\n\nb c"),
     ('<article><div class="ad">no</div><ul><li>one</li><li>two</li></ul><p>&lt;p&gt; &#233; &nbsp;x</p><article class="comment">no</article></article>', "one\n\ntwo\n\n<p> é x"),
     ('<div class="cookie-notice">We use cookies</div><article>text<p>1 < 2</article>', "text\n\n1 < 2"),
+    ('<body class="has-sidebar"><div class="site-header">no</div><div class="breadcrumbs">no</div><div class="post-content"><h2>a</h2><p>b</p><div class="related-posts">no</div></div><ol class="commentlist"><li>no</li></ol></body>', "a\n\nb"),
+    ('<div id="content"><header>no</header><article><header><h1>a</h1></header><section class="body">b</section></article><p>no</p></div>', "a\n\nb"),
     ("<article><p>open <!-- never closed <p>gone</p></article>", "open"),
 ]
 
