@@ -136,6 +136,52 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql(rules: Rules = Rules()) -> str:  # noqa: B008
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    any_of = " OR ".join(f"contains(lower(line), {quoted(x)})" for x in rules.boilerplate)
+    separators = ", ".join(map(quoted, rules.separators))
+    return rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+), worded AS (
+  SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), measured AS (
+  SELECT doc_id, line, w, len(w) AS n, len(list_filter(w, lambda x: x IN ({separators}))) AS alone,
+    len(list_filter(w, lambda x: regexp_matches(x, '[{SYMBOLS}]'))) AS marked, len(list_filter(w, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) AS loud,
+    len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS twins FROM worded
+), judged AS (
+  SELECT *, n <= {rules.boilerplate_words} AND ({any_of})
+    OR alone > 0 AND alone > {rules.max_separator_share}::DOUBLE * n OR marked > {rules.max_symbol_share}::DOUBLE * n
+    OR n >= {rules.min_shout_words} AND (loud > {rules.max_shout_share}::DOUBLE * n OR twins > {rules.max_one_word_share}::DOUBLE * (n - 1))
+    OR n < {rules.long_line} AND NOT contains({quoted(rules.terminal)}, right(w[-1], 1)) AS failed FROM measured
+), by_line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE failed) AS n_lines_failed,
+    coalesce(sum(n) FILTER (WHERE failed), 0) AS words_lost FROM judged GROUP BY doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+), windows AS (
+  SELECT doc_id, i, word, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS x FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), often AS (
+  SELECT doc_id, i, word, CASE WHEN x IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, x) > 1 THEN 1 ELSE 0 END AS r FROM windows
+), covered AS (
+  SELECT doc_id, word, max(r) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM often
+), by_word AS (
+  SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, sum(c) AS n_repeat_words FROM covered GROUP BY doc_id
+), whole AS (
+  SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^{SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
+    coalesce(n_lines_failed, 0)::BIGINT AS n_lines_failed, coalesce(words_lost, 0)::BIGINT AS words_lost
+  FROM documents d LEFT JOIN by_line l ON l.doc_id = d.doc_id LEFT JOIN by_word w ON w.doc_id = d.doc_id
+), based AS (
+  SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM whole
+)
+SELECT *, NOT base_failed AND words_lost <= {rules.max_lost_share}::DOUBLE * n_words AS kept FROM based
+"""
+
+
+OP7_SQL = _sql()
+
+
 def clean_documents(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:  # noqa: B008
     """The rows of docs whose document the rules keep, with all their columns and the text without the lines that
     fail. All this is a function of the text alone, so rows are judged where they are, without a shuffle."""

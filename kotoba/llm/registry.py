@@ -28,6 +28,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op6_top_k": mtree.OP6_SQL,
+    "op7_quality_rules": quality.OP7_SQL,
     "op9_jaccard_join": jaccard.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
 }
