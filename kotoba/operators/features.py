@@ -27,9 +27,9 @@ def bigrams(text: Column | str) -> Column:
 
 
 def look_up(rows: DataFrame, key: str, vocabulary: DataFrame, oov: int, out: str) -> DataFrame:
-    """rows with the id of their key in a vocabulary (key, id), else that of oov. Vocabularies are model files of a
-    fixed size (82,000 entries at most), so they are broadcast."""
-    small = F.broadcast(vocabulary.select(F.col("key").alias(key), F.col("id").alias(out)))
+    """rows with the id of their key in a vocabulary (key, id), else that of oov. Spark broadcasts a vocabulary that is
+    small enough by its own measure, as those of a model are (82,000 entries at most), and shuffles else."""
+    small = vocabulary.select(F.col("key").alias(key), F.col("id").alias(out))
     return rows.join(small, key, "left").withColumn(out, F.coalesce(out, F.lit(oov)))
 
 
@@ -43,13 +43,13 @@ def windows(rows: DataFrame, key: str, ids: list[tuple[str, int]]) -> DataFrame:
 
 def candidates(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, lengths: list[int], at_end: bool = False) -> DataFrame:
     """(key, pos, word, length) of vocabulary words that start at each place of a text, or end there. Only lengths that
-    the vocabulary has, up to MAX_WORD, are cut out, and what isn't a word is dropped by a broadcast semi-join before
-    it meets anything else."""
+    the vocabulary has, up to MAX_WORD, are cut out, and what isn't a word is dropped by a semi-join before it
+    meets anything else."""
     lengths = sorted(n for n in set(lengths) if n <= MAX_WORD)
     n = F.length(text)
     places = texts.select(key, text, F.explode(F.array(*map(F.lit, lengths))).alias("length")).where(F.col("length") <= n)
     places = places.select(key, "length", F.posexplode(_grams(F.col(text), F.col("length"))).alias("start", "word"))
-    found = places.join(F.broadcast(vocabulary.select(F.col("key").alias("word"))), "word", "left_semi")
+    found = places.join(vocabulary.select(F.col("key").alias("word")), "word", "left_semi")
     return found.select(key, (F.col("start") + (F.col("length") - 1 if at_end else F.lit(0))).alias("pos"), "word", "length")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 from pathlib import Path
 
@@ -14,7 +14,7 @@ from ..functions.text import WIDE_SPACE, drop_labels, take_labels
 from ..functions.unicode import check_version, lower_kept, normalize
 from ..operators.dictionary import Trie, force_tags
 from ..schema import POS_LABELS, TAGGED, WORDS, EmptyToken, KotobaError, postags
-from ..sources.model import SEGMENTER_SHAPES, TAGGER_SHAPES, read_vocabularies, read_weights
+from ..sources.model import SEGMENTER_SHAPES, TAGGER_SHAPES, check_digest, read_vocabularies, read_weights
 from .nn import Network, cut, synthetic
 
 
@@ -65,13 +65,16 @@ class Segmenter:
         return cls(spark, spark.sparkContext.broadcast(net))
 
     @classmethod
-    def load(cls, spark: SparkSession, model_dir: str | Path):
-        """A model from its directory: one vocabulary file (.dict) and one of weights (.model, or .bin.gz)."""
+    def load(cls, spark: SparkSession, model_dir: str | Path, digests: Mapping[str, str] | None = None):
+        """A model from its directory: one vocabulary file (.dict) and one of weights (.model, or .bin.gz). digests: the
+        SHA-256 that files must have, by name."""
         weights = next((p for s in (".model", ".bin.gz") for p in sorted(Path(model_dir).glob(f"*{s}"))), None)
         if weights is None:
             raise FileNotFoundError(f"no weights in {model_dir}")
+        for name, sha256 in (digests or {}).items():
+            check_digest(Path(model_dir) / name, sha256)
         shapes = TAGGER_SHAPES if cls._labels() else SEGMENTER_SHAPES
-        return cls.of(spark, Network(read_vocabularies(_find(model_dir, ".dict")), read_weights(weights, shapes), cls._labels()))
+        return cls.of(spark, Network(read_vocabularies(_find(model_dir, ".dict"), cls._labels()), read_weights(weights, shapes), cls._labels()))
 
     @classmethod
     def synthetic(cls, spark: SparkSession, seed: int = 0):

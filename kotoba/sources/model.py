@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import pickle
 import pickletools
@@ -58,8 +59,8 @@ def _bytes(path: str | Path) -> bytes:
     return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
-def unpickle(data: bytes) -> Vocabularies:
-    """The vocabularies of a pickled list of five dictionaries."""
+def unpickle(data: bytes, tagger: bool = True) -> Vocabularies:
+    """The vocabularies of a pickled list of five dictionaries; without a tagger the first three will do."""
     try:
         used = {op.name for op, _, _ in pickletools.genops(data)}
         if used - OPCODES:
@@ -69,18 +70,26 @@ def unpickle(data: bytes) -> Vocabularies:
         raise
     except Exception as error:
         raise PickleError(str(error)) from error
-    if not isinstance(found, list) or len(found) != 5 or not all(isinstance(x, dict) for x in found):
+    if not isinstance(found, list) or len(found) != 5 and (tagger or len(found) < 3) or not all(isinstance(x, dict) for x in found):
         raise PickleError("not a list of five dictionaries")
+    found = found if tagger else found[:3]
     for x in found[:4]:
         if not all(isinstance(k, str) and type(v) is int and v >= 0 for k, v in x.items()):
             raise PickleError("not a dictionary from strings to ids")
-    if not all(isinstance(k, str) and isinstance(v, list) and all(type(i) is int for i in v) for k, v in found[4].items()):
+    if tagger and not all(isinstance(k, str) and isinstance(v, list) and all(type(i) is int for i in v) for k, v in found[4].items()):
         raise PickleError("not a dictionary from words to lists of ids")
     return Vocabularies(*found)
 
 
-def read_vocabularies(path: str | Path) -> Vocabularies:
-    return unpickle(_bytes(path))
+def read_vocabularies(path: str | Path, tagger: bool = True) -> Vocabularies:
+    return unpickle(_bytes(path), tagger)
+
+
+def check_digest(path: str | Path, sha256: str) -> None:
+    """A file is the one whose digest is known, or the load ends here."""
+    got = hashlib.sha256(Path(path).read_bytes()).hexdigest()
+    if got != sha256.lower():
+        raise InvalidVocabulary(f"{path} has the digest {got}, not {sha256}")
 
 
 def read_weights(path: str | Path, wanted: Iterable[str] | None = None) -> dict[str, np.ndarray]:

@@ -53,6 +53,25 @@ def test_pickles_cut_short_or_executable_are_rejected():
             m.unpickle(bad)
 
 
+def test_a_segmenter_needs_three_vocabularies(net, model_dir):
+    v = net.vocabularies
+    three = pickle.dumps([v.uni, v.bi, v.word], protocol=2)
+    assert m.unpickle(three, tagger=False).word == v.word
+    with pytest.raises(s.PickleError):
+        m.unpickle(three)
+    with pytest.raises(s.PickleError):
+        m.unpickle(pickle.dumps([v.uni, v.bi], protocol=2), tagger=False)
+
+
+def test_digests(model_dir):
+    import hashlib
+
+    good = hashlib.sha256((model_dir / "v.dict").read_bytes()).hexdigest()
+    m.check_digest(model_dir / "v.dict", good)
+    with pytest.raises(s.InvalidVocabulary):
+        m.check_digest(model_dir / "v.dict", "0" * 64)
+
+
 def test_weights_text_and_binary(net, model_dir, tmp_path):
     text = m.read_weights(model_dir / "v.model")
     assert all((text[k] == w).all() for k, w in net.weights.items())
