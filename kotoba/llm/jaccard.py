@@ -4,7 +4,8 @@ Texts are sets of word five-grams. Equal sets are one class from the start. Ever
 with a probability inverse to the set's size and by a hash of the token alone, so similar sets sample the same ones.
 Sets that share a sampled token meet in a bucket. Small buckets are compared by brute force; large ones are split again
 by a second sampled token, a third and so on, until they are small or the paths are as long as allowed, and what is
-left is compared in blocks. All runs of the join are taken at once: RUNS times as many tokens as one run would sample.
+left is compared in blocks. Sets similar to the pivot of a large bucket leave it before it is split.
+All runs of the join are taken at once: RUNS times as many tokens as one run would sample.
 A pair at the threshold shares a sampled token but with a probability of exp(-RUNS * 1.1), some 1e-6, or some 5e-5
 where its buckets are split on every level: recall is above 0.999.
 
@@ -51,6 +52,10 @@ class Params:
     def threshold(self) -> float:
         return self.above / self.below
 
+    def near(self) -> float:
+        """The sketched similarity to a pivot that anything has which is similar to a set similar to the pivot."""
+        return 2 * self.threshold() - 1 - 2 * self.slack
+
     def sampled(self) -> float:
         """Tokens that a set samples in all runs: 1 / threshold in each."""
         return self.runs / self.threshold()
@@ -177,10 +182,26 @@ def linked_blocks(ids: list[int], left: np.ndarray, sketch: np.ndarray, p: Param
             yield ids[x], ids[y]
 
 
+def from_pivots(classes: DataFrame, large: DataFrame, p: Params) -> DataFrame:
+    """Rows (path, id, used) of large buckets with their bucket's pivot, the smallest id, and the sketched similarity s
+    to it. A set similar to the pivot needs no more splitting there: whatever is similar to it is by the triangle
+    inequality near the pivot too, so both are linked to the pivot."""
+    pivots = large.groupBy("path").agg(F.min("id").alias("pivot")).join(classes.select(F.col("id").alias("pivot"), F.col("sketch").alias("to")), "pivot")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, to = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "to"))
+            same, either = ((one == to) & (one != 0)).sum(axis=1), ((one != 0) | (to != 0)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "id", "used", "pivot")), pa.array(same / np.maximum(either, 1))], ["path", "id", "used", "pivot", "s"])
+
+    rows = large.join(written(pivots, "pivots"), "path").join(classes.select("id", "sketch"), "id")
+    return rows.select("path", "id", "used", "pivot", "sketch", "to").mapInArrow(measure, "path long, id long, used array<long>, pivot long, s double")
+
+
 def bucket_edges(classes: DataFrame, p: Params) -> DataFrame:
     """(a, b): similar sets, as sketches tell, of all buckets."""
     nodes = classes.select("id", F.explode("tokens").alias("path"), F.lit(None).cast("array<long>").alias("used"))
-    small, large = [], None
+    small, large, starred = [], None, []
     for depth in range(1, p.depth + 1):
         counts = written(nodes.groupBy("path").agg(F.count("*").alias("c")).where("c > 1"), f"paths-{depth}")
         met = nodes.join(counts, "path")
@@ -191,10 +212,11 @@ def bucket_edges(classes: DataFrame, p: Params) -> DataFrame:
         large = met.where(F.col("c") > p.light)
         if depth == p.depth:
             break
-        used = F.coalesce("used", F.array("path"))
-        chance = F.lit(p.branch * (1 << 20)) / F.size("tokens")
+        seen = written(from_pivots(classes, written(large.select("path", "id", "used"), f"large-{depth}"), p), f"seen-{depth}")
+        starred.append(seen.where((F.col("s") >= p.near()) & (F.col("id") != F.col("pivot"))).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         on = F.filter("tokens", lambda t: ~F.array_contains(F.col("used"), t) & (F.pmod(F.xxhash64(F.col("path"), t), F.lit(1 << 20)) < F.col("chance")))
-        going = large.select("id", "path", used.alias("used")).join(classes.select("id", "tokens"), "id").withColumn("chance", chance)
+        going = seen.where(F.col("s") < p.threshold()).select("id", "path", F.coalesce("used", F.array("path")).alias("used")).join(classes.select("id", "tokens"), "id")
+        going = going.withColumn("chance", F.lit(p.branch * (1 << 20)) / F.size("tokens"))
         deeper = going.select("id", "path", "used", F.explode(on).alias("t")).select("id", F.xxhash64("path", "t").alias("path"), F.concat("used", F.array("t")).alias("used"))
         nodes = written(deeper, f"nodes-{depth}")
 
@@ -220,7 +242,10 @@ def bucket_edges(classes: DataFrame, p: Params) -> DataFrame:
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     with_sketch = buckets.join(classes.select("id", "sketch"), "id")
-    return with_sketch.groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long").distinct()
+    edges = with_sketch.groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long")
+    for x in starred:
+        edges = edges.unionByName(x)
+    return edges.distinct()
 
 
 def compared(sets: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, p: Params) -> np.ndarray:
