@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import time
 
@@ -22,7 +23,7 @@ QUERIES = (
 
 def lines() -> list[tuple[int, str]]:
     """Lines of 3 to some hundred characters, shuffled by a fixed rule."""
-    sizes = [3 + int(-(MEAN - 3) * __import__("math").log(1 - (i * 0.6180339887) % 1)) for i in range(LINES)]
+    sizes = [3 + int(-(MEAN - 3) * math.log(1 - (i * 0.6180339887) % 1)) for i in range(LINES)]
     return [(i, ((SAMPLE * 8)[i % 60 :])[: min(n, 454)]) for i, n in enumerate(sizes)]
 
 
