@@ -240,7 +240,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         names = ["anchor", "off", "multi", "hot", "doc_id", "th", "at", "piece"]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    some = joined.mapInArrow(per_slice(cut), "anchor long, off int, multi boolean, hot boolean, doc_id long, th long, at long, piece binary")
+    # written, so the texts are joined once for both ways to go on
+    some = written(joined.mapInArrow(per_slice(cut), "anchor long, off int, multi boolean, hot boolean, doc_id long, th long, at long, piece binary"), "piece-texts")
     cold = some.where("NOT hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "th", "at").mapInArrow(_indexed, SPANS)
     found = whole.unionByName(cold)
     if several.where(F.col("c") > PIECES).isEmpty():
