@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Python works on slices of an Arrow batch that hold at most so many bytes of text (one longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows in an Arrow batch: bounds the memory of a batch of ordinary documents.
 BATCH_ROWS = 2000
 
