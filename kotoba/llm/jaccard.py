@@ -43,7 +43,7 @@ class Params:
     below: int = 5
     runs: int = 13
     light: int = 96  # sets of a bucket that is compared at once
-    depth: int = 4  # tokens of a path
+    depth: int = 3  # tokens of a path
     branch: float = 2.0  # tokens that a set samples to go on with a path
     block: int = 2_048  # sets of a block of what stays large
     sketch: int = 256
