@@ -2,8 +2,12 @@
 
 Iterative proportional fitting (raking) with an upper bound: every cell (source, language, topic) gets a probability
 min(1, a_source * b_language * c_topic) such that the tokens expected in the sample are `rate` of all and meet the target
-share of each source, each language and each topic. Where there is less than a target asks for, all of it is taken.
-Documents are then sampled by the probability of their cell.
+share of each source, each language and each topic. Where there is less than a target asks for, all of it is taken, and
+the other targets grow by one factor to fill the budget. Documents are then sampled by the probability of their cell.
+
+A source's factor is exact in every round; those of languages and topics take Newton steps until all margins are met to
+TOLERANCE of the budget. Targets that can't be met together end with a warning, the sources' being met. The query
+op4_mixing takes the fixed rounds and steps of Targets instead, as OP4_SQL has them, which need not get there.
 
 Sources may be many; languages and topics are declared lists (others count as OTHER). So the factors of languages and
 topics are a few numbers in the plan, those of sources are computed where the source's cells are, and each round is one
@@ -19,6 +23,7 @@ those named as the columns of results, which are replaced.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -30,6 +35,12 @@ from .runtime import WORD, table, text_or_empty, written
 OTHER = "other"
 #: Cells up to which their weights are broadcast: some 100 bytes each, so 2 MB at most.
 BROADCAST_CELLS = 20_000
+#: The largest distance of a margin from its target, as a share of the budget.
+TOLERANCE = 1e-5
+#: Rounds in which the distance must shrink by a tenth, else the targets can't be met together.
+PATIENCE = 20
+#: Bound of the factors of languages and topics, for targets that can't be met together.
+LARGEST = 1e9
 #: Topics by the first pattern that a text holds.
 TOPICS: tuple[tuple[str, str], ...] = (("legal", r"(?i)licen[cs]e|copyright|all rights reserved"), ("contact", r"@|https?://"), ("tabular", r" \| "), ("general", r""))
 
@@ -82,8 +93,32 @@ def _scaled(shares: Mapping[str, float], present: Mapping[str, float]) -> dict[s
     return {k: v / total for k, v in some.items()} if total else {k: 1 / len(some) for k in some}
 
 
-def cell_weights(rows: DataFrame, targets: Targets) -> DataFrame:
-    """(source, lang, topic, weight, probability) of every cell of marked rows."""
+def _filled(shares: Mapping[str, float], present: Mapping[str, float], budget: float) -> dict[str, float]:
+    """Tokens of each present: its share of the budget or all there is, what is short being shared by the others."""
+    left, out = dict(shares), {}
+    while left:
+        scale = (budget - sum(out.values())) / (sum(left.values()) or 1.0)
+        full = [k for k, v in left.items() if v * scale >= present[k]]
+        if not full:
+            return out | {k: v * scale for k, v in left.items()}
+        out |= {k: present[k] if left[k] else 0.0 for k in full}
+        left = {k: v for k, v in left.items() if k not in full}
+    return out
+
+
+def _moved(factor: float, target: float, capped: float, loose: float) -> float:
+    """A language's or topic's factor after one step, its cells holding capped tokens at their bound and loose ones below
+    it. The tokens held are concave in the factor, so neither kind of step leaves the target's side."""
+    if target <= 0:
+        return 0.0
+    if capped + loose > target:
+        return factor * target / (capped + loose)
+    return min(LARGEST, factor * (target - capped) / loose) if loose > 0 else factor
+
+
+def cell_weights(rows: DataFrame, targets: Targets, settled: bool = True) -> DataFrame:
+    """(source, lang, topic, weight, probability) of every cell of marked rows; if not settled, after the fixed numbers
+    of rounds and steps."""
     cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").cast("double").alias("tokens"))
     # a source has a cell for each declared language and topic at most
     by_source = cells.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("lang", "topic", "tokens"))).alias("cells"), F.sum("tokens").alias("supply"))
@@ -101,13 +136,26 @@ def cell_weights(rows: DataFrame, targets: Targets) -> DataFrame:
     given, spare = sums["named"] or 0.0, sums["free"] or 0.0
     rest = max(0.0, 1.0 - given) if spare else 0.0
     share = F.when(some & is_named, share_of / F.lit(given + rest or 1.0)).otherwise(free * F.lit(rest / (spare or 1.0) / (given + rest or 1.0)))
-    target = share * F.lit(budget)
-
     want_l, want_t = _scaled(targets.languages, langs), _scaled(targets.topics, topics)
     b, c = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
+    if settled and budget:
+        reach = sources.agg(F.sum(F.when(share > 0, F.col("supply"))).alias("t")).collect()[0]["t"] or 0.0
+        budget = min(budget, reach, *(sum(present[k] for k, v in want.items() if v) for want, present in ((want_l, langs), (want_t, topics))))
+    target = share * F.lit(budget)
+    if settled and budget:
+        scale = 1.0
+        while True:  # of the sources that have more than their targets
+            full = F.col("supply") <= target * F.lit(scale)
+            got = sources.where(share > 0).agg(F.sum(F.when(full, F.col("supply")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(share)).alias("loose")).collect()[0]
+            more = (budget - got["full"]) / (got["loose"] * budget) if got["loose"] else scale
+            if more <= scale * (1 + 1e-12):
+                break
+            scale = more
+        target = F.least(target * F.lit(scale), F.col("supply"))
 
     def factor(b: dict[str, float], c: dict[str, float]) -> Column:
-        """A source's factor, given those of languages and topics: a few steps towards its target."""
+        """A source's factor, given those of languages and topics. Settled: as the tokens held are concave in it and have
+        a bend for each cell, Newton's steps from below pass a bend each or end."""
         bc = lambda x: _pick(b, x["lang"]) * _pick(c, x["topic"])
         free = F.aggregate("cells", F.lit(0.0), lambda s, x: s + bc(x) * x["tokens"])
         first = F.when(free > 0, target / free).otherwise(F.lit(0.0))
@@ -116,10 +164,37 @@ def cell_weights(rows: DataFrame, targets: Targets) -> DataFrame:
             held = F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.least(F.lit(1.0), a * bc(x)) * x["tokens"])
             return F.coalesce(a * target / F.nullif(held, F.lit(0.0)), F.lit(0.0))
 
+        def newton(a: Column, _: Column) -> Column:
+            at_bound = F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.when(a * bc(x) >= 1.0, x["tokens"]).otherwise(0.0))
+            slope = F.aggregate("cells", F.lit(0.0), lambda s, x: s + F.when(a * bc(x) >= 1.0, 0.0).otherwise(bc(x) * x["tokens"]))
+            return F.when(slope > 0, F.greatest(a, (target - at_bound) / slope)).otherwise(a)
+
+        if settled:
+            return F.aggregate(F.sequence(F.lit(1), F.size("cells") + 1), first, newton)
         return F.aggregate(F.sequence(F.lit(1), F.lit(targets.inner)), first, step)
 
     weight = lambda b, c: F.col("a") * (_pick(b, F.col("lang")) * _pick(c, F.col("topic")))
-    for _ in range(targets.iterations if budget else 0):
+    best, since = float("inf"), 0
+    goal_l, goal_t = (_filled(want, present, budget) if settled and budget else {} for want, present in ((want_l, langs), (want_t, topics)))
+    while settled and budget:
+        held = sources.select(factor(b, c).alias("a"), "cells").select("a", F.inline("cells"))
+        at_bound = weight(b, c) >= 1.0
+        now = held.groupBy("lang", "topic").agg(F.sum(F.when(at_bound, F.col("tokens")).otherwise(0.0)).alias("capped"), F.sum(F.when(at_bound, 0.0).otherwise(weight(b, c) * F.col("tokens"))).alias("loose")).collect()
+        now = sorted((r["lang"], r["topic"], r["capped"], r["loose"]) for r in now)
+        sums = lambda i, k, of: sum(r[of] for r in now if r[i] == k)
+        far = max(abs(sums(i, k, 2) + sums(i, k, 3) - v) for i, goal in ((0, goal_l), (1, goal_t)) for k, v in goal.items()) / budget
+        if far <= TOLERANCE:
+            break
+        best, since = (far, 0) if far < best * 0.9 else (best, since + 1)
+        if since == PATIENCE:
+            warnings.warn(f"mixing: targets can't be met together, a margin is off by {far:.2%} of the budget", stacklevel=2)
+            break
+        # languages and topics without a goal have no tokens
+        moved = {k: _moved(b[k], goal_l.get(k, 0.0), sums(0, k, 2), sums(0, k, 3)) for k in b}
+        ratio = {k: moved[k] / b[k] if b[k] else 0.0 for k in b}
+        now = [(l, t, capped, loose * ratio[l]) for l, t, capped, loose in now]
+        b, c = moved, {k: _moved(c[k], goal_t.get(k, 0.0), sums(1, k, 2), sums(1, k, 3)) for k in c}
+    for _ in range(targets.iterations if budget and not settled else 0):
         held = sources.select(factor(b, c).alias("a"), "cells").select("a", F.inline("cells"))
         now = held.groupBy("lang", "topic").agg(F.sum(F.least(F.lit(1.0), weight(b, c)) * F.col("tokens")).alias("m")).collect()
         m = {(r["lang"], r["topic"]): r["m"] for r in sorted(now, key=lambda r: (r["lang"], r["topic"]))}
@@ -138,11 +213,11 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:  # noqa: B008
+def mix(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", settled: bool = True) -> DataFrame:  # noqa: B008
     """docs with topic, n_tokens, weight, probability and sampled."""
     made = ["topic", "n_tokens", "weight", "probability", "sampled"]
     rows = marked(docs, targets, text, source, lang)
-    weights = written(cell_weights(rows, targets), "weights").toDF("__source", "__lang", "__topic", "__weight", "__probability")
+    weights = written(cell_weights(rows, targets, settled), "weights").toDF("__source", "__lang", "__topic", "__weight", "__probability")
     if weights.count() <= BROADCAST_CELLS:
         weights = F.broadcast(weights)
     joined = rows.join(weights, ["__source", "__lang", "__topic"], "left")
@@ -151,8 +226,8 @@ def mix(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its calibrated probability and whether it is sampled."""
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    """Every document with its calibrated probability, as OP4_SQL has it, and whether it is sampled."""
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), settled=False)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 

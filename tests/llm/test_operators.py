@@ -181,6 +181,36 @@ def test_mixing_meets_its_targets(spark):
     assert abs(sum(r.n_tokens for r in got if r.sampled) / expected - 1) < 0.1
 
 
+def test_mixing_settles_where_targets_exceed_supply(spark):
+    """The production targets on the given table: 10 % of contact asked, far less there, so all of it is taken."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang")
+    got = mixing.mix(df).collect()
+    total = sum(r.n_tokens for r in got)
+    expected = sum(r.probability * r.n_tokens for r in got)
+    assert abs(expected / total - 0.5) < 1e-4
+    for column, power in (("source", 0.7), ("lang", None), ("topic", None)):
+        supply, held = defaultdict(float), defaultdict(float)
+        for r in got:
+            supply[r[column]] += r.n_tokens
+            held[r[column]] += r.probability * r.n_tokens
+        declared = {"lang": mixing.Targets().languages, "topic": mixing.Targets().topics}.get(column)
+        shares = {k: v**power if power else declared[k] for k, v in supply.items() if v}
+        per_share = {k: held[k] / shares[k] for k in shares if held[k] < supply[k] - 2 * mixing.TOLERANCE * expected}
+        assert max(per_share.values()) / min(per_share.values()) < 1.005  # what is not short keeps its proportions
+        assert all(held[k] / shares[k] <= max(per_share.values()) * 1.005 for k in shares)
+    contact = [r for r in got if r.topic == "contact"]
+    assert sum(r.probability * r.n_tokens for r in contact) >= sum(r.n_tokens for r in contact) - 2 * mixing.TOLERANCE * expected
+
+
+def test_mixing_targets_that_exclude_each_other(spark):
+    rows = [(i, "w w w a@b", "only", "en") for i in range(50)] + [(50 + i, "w w w w", "other", "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = mixing.Targets(sources={"only": 0.5, "other": 0.5}, languages={"en": 0.9, "de": 0.1}, topics={"general": 0.5, "contact": 0.5})
+    with pytest.warns(UserWarning, match="together"):
+        got = mixing.mix(df, targets).collect()
+    assert all(abs(r.probability - 0.5) < 1e-6 for r in got)
+
+
 def test_mixing_on_awkward_texts(docs, empty, rows):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows) and all(0 <= r.probability <= 1 for r in got)
