@@ -14,8 +14,9 @@ asked for by more than four standard deviations. Its links make groups, and with
 compared exactly, in blocks: a pair is counted once, and no pair is ever a row.
 
 Defined results: null, empty and blank texts have no shingles, no links and are their own class; a text of one to four
-words is one shingle; classes go by the smallest doc_id (a null id counts as an id below all others); rows with the
-same id are one node; columns other than the id and the text are not read.
+words is one shingle; classes go by the smallest doc_id (null where all ids are null); rows with the same id and the same
+text are one node, and rows of different texts are nodes of their own whatever their ids are; columns other than the id
+and the text are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -308,23 +308,25 @@ def exact_links(groups: DataFrame, p: Params) -> DataFrame:
     return groups.groupBy("grp", "i", "j").applyInArrow(count, "id long, links long, root long")
 
 
-def similar_documents(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """doc_id, class_id (the smallest id that links lead to), copy_id (the smallest id with the same set), n_links (other
-    documents that are similar) for each row of docs."""
+def judged(docs: DataFrame, p: Params, doc_id: str, text: str) -> DataFrame:
+    """doc_id, th (the text's hash), class_id, copy_id, n_links for each row of docs, and whether it stays: of each class
+    the node with the smallest (doc_id, th) does, ids that are null coming last."""
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).cast("string").alias("text"))
     rows = written(prepared(keyed, p), "sets")
     node = F.coalesce("doc_id", F.lit(NULL_ID))
     some = rows.where("n > 0")
-    least = some.groupBy("k1", "k2").agg(F.min(F.struct(node.alias("id"), "th", "tokens", "sketch")).alias("x"))
-    copies = some.select("k1", "k2", node.alias("id")).distinct().groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    classes = written(least.join(copies, ["k1", "k2"]).select("k1", "k2", "copies", "x.*"), "classes")
+    least = some.groupBy("k1", "k2").agg(F.min(F.struct(F.isnull("doc_id").alias("unnamed"), node.alias("node"), "th", "tokens", "sketch")).alias("x"))
+    copies = some.select("k1", "k2", node.alias("node"), "th").distinct().groupBy("k1", "k2").agg(F.count("*").alias("copies"))
+    # ids of documents may be null or used again, so sets are numbered
+    ordered = least.join(copies, ["k1", "k2"]).select("k1", "k2", "copies", "x.*").sortWithinPartitions("k1", "k2")
+    classes = written(ordered.withColumn("id", F.monotonically_increasing_id()), "classes")
     alone = classes.select("id", "tokens", "sketch")
 
     grouped = components(bucket_edges(alone, p)).withColumnRenamed("root", "grp")
     sizes = written(grouped.groupBy("grp").agg(F.ceil(F.count("*") / p.block).cast("int").alias("nb")), "sizes")
-    members = grouped.join(sizes, "grp").join(classes.select("id", "th", "copies"), "id")
-    with_text = members.join(keyed.select(node.alias("id"), "th", "text"), ["id", "th"])
+    members = grouped.join(sizes, "grp").join(classes.select("id", "node", "th", "copies"), "id")
+    with_text = members.join(keyed.select(node.alias("node"), "th", "text"), ["node", "th"])
     own = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") <= k).alias("left")))
     dealt = with_text.withColumn("own", own).select("grp", "id", "copies", "text", F.explode(pairs).alias("x")).select("grp", "x.*", "id", "copies", "text")
@@ -335,25 +337,35 @@ def similar_documents(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_
         led = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
         roots = links.groupBy("id").agg(F.sum("links").alias("links")).join(led, "id", "left").select("id", "links", F.coalesce("root", "id").alias("root"))
 
-    of_class = written(classes.select("k1", "k2", "copies", "id").join(roots, "id", "left"), "roots")
-    out = rows.select("doc_id", "k1", "k2", "n").join(of_class, ["k1", "k2"], "left")
-    public = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    first = F.struct("unnamed", "node", "th")
+    named = written(roots.join(classes.select("id", first.alias("first")), "id"), "named")
+    led = named.join(named.groupBy("root").agg(F.min("first").alias("of_root")), "root").select("id", "links", "of_root")
+    of_class = classes.select("k1", "k2", "copies", "id", first.alias("of_copy")).join(led, "id", "left")
+    of_class = written(of_class.select("k1", "k2", "copies", "links", "of_copy", F.coalesce("of_root", "of_copy").alias("of_class")), "roots")
+    out = rows.select("doc_id", "th", "k1", "k2", "n").join(of_class, ["k1", "k2"], "left")
+    public = lambda c: F.when(F.col("n") == 0, F.col("doc_id")).when(~F.col(c)["unnamed"], F.col(c)["node"])
     return out.select(
         "doc_id",
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce(public("root"), public("id"))).alias("class_id"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(public("id")).alias("copy_id"),
+        "th",
+        public("of_class").alias("class_id"),
+        public("of_copy").alias("copy_id"),
         F.when(F.col("n") == 0, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+        ((F.col("n") == 0) | (F.col("of_class") == F.struct(F.isnull("doc_id").alias("unnamed"), node.alias("node"), "th"))).alias("stays"),
     )
 
 
+def similar_documents(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
+    """doc_id, class_id (the smallest id that links lead to), copy_id (the smallest id with the same set), n_links (other
+    documents that are similar) for each row of docs."""
+    return judged(docs, p, doc_id, text).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def one_of_each(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
-    """The rows of docs that stay when of each class of similar documents only the one with the smallest id does; of
-    rows with the same id the one whose text has the smallest hash."""
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    stay = written(similar_documents(docs, p, doc_id, text).where("doc_id <=> class_id").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key")).distinct(), "stay")
-    kept = docs.withColumn("__key", key).join(stay, "__key", "left_semi")
-    first = Window.partitionBy("__key").orderBy(F.xxhash64(F.col(text)))
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    """The rows of docs that stay when of each class of similar documents only the one with the smallest id (then the
+    smallest hash of the text) does; rows with the same id and the same text are one."""
+    stay = written(judged(docs, p, doc_id, text).where("stays").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__key"), F.col("th").alias("__th")).distinct(), "stay")
+    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).withColumn("__th", F.xxhash64(F.col(text)))
+    return keyed.join(stay, ["__key", "__th"], "left_semi").dropDuplicates(["__key", "__th"]).select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -414,6 +414,23 @@ def test_jaccard_links_and_survivors(spark):
     assert sorted(r.doc_id for r in jaccard.one_of_each(df.union(df)).collect()) == sorted({c for c, _ in want.values()})
 
 
+def test_jaccard_drops_no_text_for_its_id(spark):
+    """Null and reused ids: nodes are texts, so different texts all stay and links are found under any id."""
+    rng = random.Random(12)
+    text = lambda: [f"w{rng.randrange(10_000)}" for _ in range(60)]
+    near = lambda x: " ".join([*x[:-1], "edit"])
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, " ".join(a)), (None, " ".join(b)), (7, " ".join(c)), (7, " ".join(d)), (8, near(d)), (None, " ".join(e)), (5, near(e)), (6, " ".join(e) + " more")]
+    rows += [(None, " ".join(f)), (None, near(f)), (None, " ".join(a)), (None, ""), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {(r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()}
+    certain = {(None, " ".join(a)), (None, " ".join(b)), (7, " ".join(c)), (7, " ".join(d)), (5, near(e)), (None, ""), (None, " ")}
+    assert certain < kept and len(kept) == len(certain) + 1 == jaccard.one_of_each(df).count()
+    assert len(kept & {(None, " ".join(f)), (None, near(f))}) == 1
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.similar_documents(df).collect() if r.doc_id)
+    assert got == [(5, 5, 2), (6, 5, 2), (7, 7, 0), (7, 7, 1), (8, 7, 1)]
+
+
 def test_shingle_sets():
     texts = ["a b c d e f", "a  b\tc\nd e f", "a b", "", None, "a b c d e", "b a", "a b c d e a b c d e"]
     sets, at = shingle_sets(texts, 5)
