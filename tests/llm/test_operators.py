@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -455,6 +456,24 @@ def test_license_scan(spark, docs, empty, rows):
     assert licenses.scan_licenses(docs).count() == len(rows) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_notices_within_and_over_lines(spark):
+    mit = (Path(__file__).resolve().parents[2] / "licenses" / "MIT.txt").read_text()
+    cases = [
+        (mit, {"MIT"}), ("Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0.", {"Apache-2.0"}),
+        ("We wrote this guide for all who care. " * 90 + "It is Released under the MIT License. And so on.", {"MIT"}),
+        ("// SPDX-License-Identifier: BSD-2-Clause", {"BSD-2-Clause"}), ("Pictures: Licensed under\nCC BY-NC-SA 4.0.", {"CC-BY-NC-SA-4.0"}),
+        ("This library is licensed under the GNU Lesser General Public License, version 2.1.", {"LGPL-2.1"}),
+        ("Code is released under the MIT License. Texts are licensed under CC BY-ND 4.0.", {"MIT", "CC-BY-ND-4.0"}),
+        ("All rights reserved.", {"LicenseRef-Proprietary"}), ("The licence of the thing is with the software under it.", set()), ("", set()), (None, set()),
+        ("Permission is hereby granted", set()),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.matches for r in licenses.scan_notices(df).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert {m.license for m in got[i]} == want, (i, got[i])
+    assert got[0][0].line_no == 2 and got[4][0].line_no == 0
+
+
 def test_size_bounds_lose_nothing(spark):
     """Lines made of the beginnings of templates, against the coefficient with every template."""
     lines = [" ".join(body.split()[:n]) for _, body in licenses.TEMPLATES for n in range(2, len(body.split()) + 1, 2)]
