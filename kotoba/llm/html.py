@@ -2,7 +2,8 @@
 
 The page is cut into blocks at block-level tags. What the markup itself says comes first: blocks under navigation,
 headers, footers, sidebars, notices, adverts, forms or comments are bad, blocks of an article are good (of what a class
-calls so, if there is no such tag). Where the markup says neither, blocks are classified by length, stop-word density and link density as good, bad, near good or short; in the second pass the
+calls so, if there is no such tag), unless the rules are certain of more text outside it than it holds: then, and where
+the markup says neither, blocks are classified by length, stop-word density and link density as good, bad, near good or short; in the second pass the
 ambiguous ones take the label of their nearest decided neighbours, and headings that of what follows.
 
 Defined results: null and empty pages, and pages without main text, give ''; white space within a block becomes one
@@ -251,10 +252,12 @@ def second_pass(found: list[Block], labels: list[str]) -> list[str]:
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
     said = next((x for x in (GOOD, NAMED) if any(b.label == x for b in found)), "")
-    if said:  # the page says what its article is
+    # text that the rules are certain of, and more of it than the article's: a teaser or one line of the page was marked
+    certain = sum(len(b.text) for b in found if b.label != said and b.label != BAD and first_pass(Block(b.text, b.link_chars, b.tag, "")) == GOOD)
+    if said and certain <= sum(len(b.text) for b in found if b.label == said):  # the page says what its article is
         labels = [first_pass(b) if b.label == said else BAD for b in found]
     else:
-        labels = [first_pass(b) for b in found]
+        labels = [first_pass(Block(b.text, b.link_chars, b.tag, BAD if b.label == BAD else "")) for b in found]
         if GOOD not in labels:  # nothing is certain: the long blocks are
             labels = [GOOD if x == NEAR and len(b.text) > LONG_CHARS else x for x, b in zip(labels, found, strict=True)]
         if GOOD not in labels:

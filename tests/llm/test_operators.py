@@ -244,6 +244,13 @@ def test_html():
     assert html.main_text(PAGES[2][0]).startswith("no tags")
 
 
+def test_html_marked_teasers_are_not_the_page():
+    text = " ".join(PROSE.split())
+    for marked in ("<article><h3>Read this too</h3></article>", "<main>One line.</main>"):
+        assert text in html.main_text(f"<body><div><p>{PROSE}</p><p>{PROSE}</p></div>{marked}</body>")
+    assert html.main_text(f"<article><p>{PROSE}</p><p>{PROSE}</p></article><div>{PROSE}</div>") == f"{text}\n\n{text}"
+
+
 def test_html_operator(spark):
     df = spark.createDataFrame([(i, "u", x, "clash") for i, (x, _) in enumerate(PAGES)] + [(None, None, None, None)], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html.extract(df).collect()}
