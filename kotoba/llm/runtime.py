@@ -28,17 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as a row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of few rows, as a row may hold a very long text. Plans read the setting when they run, so it stays;
+    it is only ever lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; one of our own only where none is set."""
+    """The folder all executors share, as the session names it. Where none is set: a temporary one if all runs on this
+    machine, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         folder = getattr(shared_folder, "own", None) or "file://" + tempfile.mkdtemp(prefix="kotoba-")
         shared_folder.own = folder
-    return folder.rstrip("/")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,10 +56,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean() -> None:
-    """Deletes the tables that written() has made."""
-    while _written:
-        spark, path = _written.pop()
+def clean(but: int = 0) -> None:
+    """Deletes the tables that written() has made, but for the latest ones if asked so. What is read from them must be
+    over by then."""
+    gone = _written[: len(_written) - but]
+    del _written[: len(gone)]
+    for spark, path in reversed(gone):
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
@@ -88,5 +94,12 @@ def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "tex
     return run
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names for columns of our own next to those of df, none of which they are (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    tail = next(t for t in ("", *(f"_{k}" for k in range(len(taken) * len(names) + 1))) if not any(f"__{n}{t}".lower() in taken for n in names))
+    return tuple(f"__{n}{tail}" for n in names)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

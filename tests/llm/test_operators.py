@@ -493,3 +493,32 @@ def test_size_bounds_lose_nothing(spark):
             best.append((-2 * len(a & b) / (len(a) + len(b)), name))
         dice, name = min(best)
         assert [(m.license, m.dice) for m in r.matches] == ([(name, -dice)] if -dice >= 0.8 else [])
+
+
+def test_jaccard_tasks_by_brute_force():
+    rng = np.random.default_rng(21)
+    sketch = rng.integers(0, 4, (40, 64)).astype(np.uint8)
+    sketch[1::3] = sketch[::3][: len(sketch[1::3])]
+    want = np.array([[((a == b) & (a != 0)).sum() >= 0.4 * max(1, ((a != 0) | (b != 0)).sum()) for b in sketch[25:]] for a in sketch[:25]])
+    assert (jaccard.alike(sketch[:25], sketch[25:], 0.4) == want).all()
+    left, right = np.arange(25), np.arange(25, 40)
+    root = jaccard.roots(want, left, right, 40)
+    reach = {i: {i} for i in range(40)}
+    for i, j in zip(*np.nonzero(want), strict=True):
+        both = reach[i] | reach[j + 25]
+        for k in both:
+            reach[k] = both
+    assert root.tolist() == [min(reach[i]) for i in range(40)]
+
+
+def test_jaccard_runs_follow_the_recall():
+    runs = [jaccard.Params(recall=x).runs() for x in (0.9, 0.99, 0.99999)]
+    assert runs == sorted(runs) and runs[0] < runs[-1] and jaccard.Params(depth=5).runs() >= runs[-1]
+
+
+def test_jaccard_with_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "mine", 7, "x"), (2, text + " more", "mine", 8, "y"), (3, "other words entirely here now", "mine", 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string, __TH long, class_id string")
+    got = sorted(map(tuple, jaccard.one_of_each(df).collect()))
+    assert got == [rows[0], rows[2]]
