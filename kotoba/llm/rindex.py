@@ -3,6 +3,7 @@
 Matching statistics are streamed from the samples alone. Where a position's rank is inside a run, the same symbol
 precedes its neighbour in suffix order, so the two positions before are neighbours too and their match is longer by
 one: only at the heads (or ends) of runs is a match measured, every other follows from the last sample to its left.
+The neighbour itself follows in the same way, so positions that match by a given length are found from the samples, too.
 Repetitive corpora have few runs.
 """
 
@@ -33,31 +34,51 @@ def _shifted(rank: np.ndarray, by: int) -> np.ndarray:
 
 @dataclass
 class RunIndex:
-    """runs: symbols of the transform, one for each run; head_at, head_match (end_at, end_match): the sampled
-    positions, in order, and how far the suffix there matches the one before (after) it in suffix order."""
+    """runs, lengths: the transform, a symbol and a number for each run. head_at, head_match (end_at, end_match): the
+    sampled positions, in order, and how far the suffix there matches the one before (after) it in suffix order;
+    head_before: where that one before stands, -1 for the first of all."""
 
     runs: np.ndarray
     lengths: np.ndarray
     head_at: np.ndarray
     head_match: np.ndarray
+    head_before: np.ndarray
     end_at: np.ndarray
     end_match: np.ndarray
     size: int
 
+    def _last(self, at: np.ndarray) -> np.ndarray:
+        """For each position the number of the last sample to its left (or there)."""
+        last = np.zeros(self.size, np.int64)
+        last[at] = np.arange(len(at))
+        return np.maximum.accumulate(last)
+
     def matching_statistics(self) -> np.ndarray:
         """For each position the length of its longest match with any other position."""
         out = np.zeros(self.size, np.int32)
         for at, match in ((self.head_at, self.head_match), (self.end_at, self.end_match)):
-            last = np.zeros(self.size, np.int64)
-            last[at] = np.arange(len(at))
-            last = np.maximum.accumulate(last)
+            last = self._last(at)
             out = np.maximum(out, match[last] - (np.arange(self.size) - at[last]))
         return out
 
-
-def build(symbols: np.ndarray, longest: int) -> tuple[RunIndex, list[np.ndarray]]:
+    def groups(self, at: np.ndarray, length: int) -> np.ndarray:
+        """For each of the positions `at` the position that stands for all that match it by `length`: stepping to the
+        suffix before, in suffix order, as long as the match is so long. Steps are doubled until none is left."""
+        last = self._last(self.head_at)
+        step = np.arange(self.size)
+        back = np.arange(self.size) - self.head_at[last]
+        same = self.head_match[last] - back >= length
+        step[same] = (self.head_before[last] + back)[same]
+        while True:
+            two = step[step]
+            if (two == step).all():
+                return step[at]
+            step = two
+
+
+def build(symbols: np.ndarray, longest: int) -> RunIndex:
     """The index of a sequence of symbols in which no match is longer than `longest`, as unique symbols end its
-    strings; and the ranks of its substrings of 1, 2, 4, ... symbols."""
+    strings. Suffixes are put in order by the ranks of substrings of 1, 2, 4, ... symbols, which go with this call."""
     n = len(symbols)
     ranks, m = [np.unique(symbols, return_inverse=True)[1].astype(np.int32)], 1
     while m <= longest:
@@ -84,6 +105,7 @@ def build(symbols: np.ndarray, longest: int) -> tuple[RunIndex, list[np.ndarray]
     head_match[1:] = match(suffixes[heads[1:]], suffixes[heads[1:] - 1])
     end_match = np.zeros(len(ends), np.int32)
     end_match[:-1] = match(suffixes[ends[:-1]], suffixes[ends[:-1] + 1])
+    before_head = np.full(len(heads), -1, np.int64)
+    before_head[1:] = suffixes[heads[1:] - 1]
     by_head, by_end = np.argsort(suffixes[heads]), np.argsort(suffixes[ends])
-    index = RunIndex(before[heads], np.diff(np.append(heads, n)), suffixes[heads][by_head], head_match[by_head], suffixes[ends][by_end], end_match[by_end], n)
-    return index, ranks
+    return RunIndex(before[heads], np.diff(np.append(heads, n)), suffixes[heads][by_head], head_match[by_head], before_head[by_head], suffixes[ends][by_end], end_match[by_end], n)

@@ -7,8 +7,8 @@ Equal pieces are found by their 128-bit hash, with partial aggregates, and are r
 of exact copies is one piece from then on. The pieces of a minimiser that differ come together as text, many minimisers
 at a time, and are indexed: aligned by the minimiser and read as symbols of eight bytes they make a run-length
 compressed Burrows-Wheeler transform with sampled run ends; matching statistics streamed from it show which positions
-match elsewhere for 49 symbols, which every window of a match does, and the up to eight bytes at both ends are then
-compared exactly. A minimiser with more different pieces than one index should hold (a passage that countless documents
+match elsewhere for 49 symbols, which every window of a match does, the samples show which match each other, and the up
+to eight bytes at both ends are then compared exactly. A minimiser with more different pieces than one index should hold (a passage that countless documents
 share, with other text around) has the windows of its pieces dealt once more, by the hash of the whole window.
 
 Defined results: a null text counts as empty; texts shorter than the length lose nothing; matches never cross texts; rows
@@ -140,13 +140,11 @@ def repeated_windows(texts: list[bytes], offsets: list[int], length: int = LENGT
     whole = np.cumsum(count)[: len(data)].reshape(-1, SYMBOL).min(axis=1) > 0
     dense = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
     dense[~whole] = dense.max() + 1 + np.arange((~whole).sum())
-    index, ranks = rindex.build(dense, max(room))
+    index = rindex.build(dense, max(room))
     at = np.flatnonzero(index.matching_statistics() >= half)
     out = np.zeros(len(data), bool)
     if len(at):
-        top = next(k for k in range(len(ranks) - 1, -1, -1) if 1 << k <= half)
-        group = ranks[top][at].astype(np.int64) * len(symbols) + ranks[top][at + half - (1 << top)]
-        group = np.unique(group, return_inverse=True)[1]
+        group = index.groups(at, half)
         owner = np.searchsorted(base, at * SYMBOL, "right") - 1
         for a in range(SYMBOL):  # bytes of the window before the first whole symbol
             start = at * SYMBOL - a

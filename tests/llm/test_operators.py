@@ -360,9 +360,14 @@ def test_run_index_streams_matching_statistics():
         copy[rng.integers(0, 60)] = 5
         parts += [copy, [100 + k]]
     x = np.concatenate(parts)
-    index, _ = rindex.build(x, 61)
+    index = rindex.build(x, 61)
     got = index.matching_statistics()
     n = len(x)
+    for length in (1, 5, 20):
+        at = np.flatnonzero(got >= length)
+        group = index.groups(at, length)
+        want = [x[i : i + length].tobytes() for i in at]
+        assert len(set(group)) == len(set(want)) == len(set(zip(group.tolist(), want, strict=True)))
     for i in range(0, n, 7):
         best = 0
         for j in range(n):
