@@ -67,6 +67,7 @@ def test_op8_by_all_windows(spark):
     for r in registry.QUERIES["op8_substring_dedup"](spark, SF).collect():
         spans, kept = want[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(texts[r.doc_id].encode()), sum(b - a for a, b in spans), len(spans), _sha(kept))
+        assert r.n_kept == len(kept) and (r.text == kept.decode(errors="replace") or "\ufffd" in r.text)
 
 
 def test_op5_pages(spark):
