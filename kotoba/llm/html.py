@@ -1,10 +1,13 @@
 """Operator 5: the main text of a web page, by two-pass block rules.
 
-The page is cut into blocks at block-level tags. What the markup itself says comes first: blocks under navigation,
-headers, footers, sidebars, notices, adverts, forms or comments are bad, blocks of an article are good (of what a class
-calls so, if there is no such tag), unless the rules are certain of more text outside it than it holds: then, and where
-the markup says neither, blocks are classified by length, stop-word density and link density as good, bad, near good or short; in the second pass the
-ambiguous ones take the label of their nearest decided neighbours, and headings that of what follows.
+The page is cut into blocks at block-level tags; what navigation, headers, footers, sidebars, notices, adverts, forms and
+comments hold is left out by its markup. The first pass classifies every other block by length, stop-word density and link
+density alone, as good, bad, near good or short. Then the region is found: the article, if there is one (or what a class or
+id calls so), unless the rules are certain of more text outside it than it holds; else the whole page. In the second pass
+the ambiguous blocks take the label of their nearest decided neighbours in the region, and headings that of what follows.
+The borders of an article count as good neighbours and its blocks that the first pass calls bad as ambiguous, since all of
+an article is asked for: its short lines, link lists, tables and formulas stand between good blocks. The borders of a page
+count as bad.
 
 Defined results: null and empty pages, and pages without main text, give ''; white space within a block becomes one
 space; unclosed tags end with what holds them; text after an unclosed comment, script or style is lost with it, as in
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import bounded_batches, per_slice, table
+from .runtime import bounded_batches, fresh, per_slice, table
 
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 #: Says of a block that a class or id calls what holds it an article or its content.
@@ -37,16 +40,20 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags whose content is not main text.
-LEFT_OUT = frozenset("head nav footer aside form button select option datalist script style noscript iframe svg canvas object applet template dialog menu textarea audio video map math search".split())
+LEFT_OUT = frozenset("head nav footer aside form button select option datalist script style noscript iframe svg canvas object applet template dialog menu textarea audio video map search".split())
 ARTICLE = frozenset("article main".split())
 ROLES_LEFT_OUT = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of a class or id (or how they begin) that tell what is no main text, and those that tell the opposite.
+#: Classes and ids that tell what is no main text: one of these names, whole, perhaps with a word of place before it and one of
+#: form after it, as in site-nav, comment-list or cookie_notice_2.
 NAMES_LEFT_OUT = re.compile(
-    r"(?:ad|ads|adv|aside|skip|teaser|teasers|pager|tools|signup|login|search|alert|reply|replies|respond)$"
-    r"|advert|banner|breadcrumb|comment|consent|cookie|disqus|footer|gdpr|masthead|menu|modal|nav|newsletter|notice|notification|outbrain|overlay|pagination|"
-    r"popup|promo|recommend|related|share|sharing|sidebar|social|sponsor|subscri|taboola|toolbar|widget"
-).match
-NAMES_HEADER = frozenset("header topbar".split())
+    r"(?:(?:site|page|main|global|top|bottom|left|right|post|article|entry|content|primary|secondary|mobile|reader|user|wp-block|js|gdpr|email)[-_]*)?"
+    r"(?:ads?|advs?|adverts?|advertisements?|advertising|aside|skip|teasers?|pager|tools|signup|login|search|alerts?|repl(?:y|ies)|respond|banners?|breadcrumbs?|comments?|"
+    r"consent|cookies?|disqus|footers?|gdpr|masthead|menus?|modal|nav|navbar|navigation|newsletters?|notices?|notifications?|outbrain|overlay|pagination|popups?|promos?|promotions?|"
+    r"recommend(?:ed|ations)|related|shar(?:e|ing)|sidebars?|social|sponsor(?:ed|s)?|subscri(?:be|ption)|taboola|toolbar|widgets?)"
+    r"(?:[-_]*(?:bar|box|list|links?|items?|wrapper|wrap|container|area|section|block|inner|outer|menu|buttons?|icons?|media|notices?|banner|popup|form|posts?|articles?|stories|content|text|"
+    r"threads?|body|left|right|top|bottom|slot|unit|card|panel|message|overlay|modal|signup|alert|law|[0-9]+))*"
+).fullmatch
+NAMES_HEADER = re.compile(r"(?:(?:site|page|main|global|top)[-_]*)?(?:header|topbar)(?:[-_]*(?:bar|wrapper|container|inner|section))*").fullmatch
 NAMES_ARTICLE = frozenset("article post entry story content main body text maincontent articlebody postcontent entrycontent".split())
 #: Frequent words of four languages.
 STOP_WORDS = frozenset(
@@ -57,7 +64,6 @@ STOP_WORDS = frozenset(
 )
 SHORT_CHARS, LONG_CHARS = 70, 200
 MAX_LINKS = 0.33
-MAX_LINKS_IN_ARTICLE = 0.9
 STOP_LOW, STOP_HIGH = 0.1, 0.2
 
 TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
@@ -98,17 +104,17 @@ def _says(name: str, rest: str, in_article: bool) -> str:
     if name in ("html", "body"):
         return ""
     if name in ARTICLE or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articlebody":
-        words = NAME_WORDS.findall(attributes.get("class", "") + " " + attributes.get("id", ""))
-        return BAD if any(x.startswith(("comment", "reply", "teaser", "related", "promo")) for x in words) else GOOD
+        return BAD if any(map(NAMES_LEFT_OUT, _names(attributes))) else GOOD
     if attributes.get("role") in ROLES_LEFT_OUT:
         return BAD
-    named = set(NAME_WORDS.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
-    left_out = any(map(NAMES_LEFT_OUT, named))
-    if left_out and (any(x.startswith(("comment", "sidebar")) for x in named) and not named & {"no", "with", "has"}):
+    names = _names(attributes)
+    if any(map(NAMES_LEFT_OUT, names)) or not in_article and any(map(NAMES_HEADER, names)):
         return BAD
-    if named & NAMES_ARTICLE and name in BLOCK:
-        return "" if left_out else NAMED
-    return BAD if left_out or not in_article and named & NAMES_HEADER else ""
+    return NAMED if name in BLOCK and any(NAMES_ARTICLE & set(NAME_WORDS.findall(x)) for x in names) else ""
+
+
+def _names(attributes: dict[str, str]) -> list[str]:
+    return (attributes.get("class", "") + " " + attributes.get("id", "")).split()
 
 
 def blocks(html: str) -> list[Block]:
@@ -210,10 +216,7 @@ def blocks(html: str) -> list[Block]:
 
 
 def first_pass(block: Block) -> str:
-    if block.label == BAD:
-        return BAD
-    if block.label in (GOOD, NAMED):
-        return BAD if block.tag == "li" and block.links() > MAX_LINKS_IN_ARTICLE else GOOD
+    """What length, stop words and links tell of a block."""
     if block.links() > MAX_LINKS:
         return BAD
     if len(block.text) < SHORT_CHARS:
@@ -226,12 +229,20 @@ def first_pass(block: Block) -> str:
     return BAD
 
 
-def second_pass(found: list[Block], labels: list[str]) -> list[str]:
-    """Labels in which the ambiguous blocks have taken those of their neighbours."""
+def region_of(found: list[Block], labels: list[str]) -> str:
+    """Where the text is: in what the markup calls so (GOOD or NAMED), or '' for the whole page, where the rules are
+    certain of more text outside that than it holds: a teaser or one line of the page was marked."""
+    said = next((x for x in (GOOD, NAMED) if any(b.label == x for b in found)), "")
+    certain = sum(len(b.text) for b, x in zip(found, labels, strict=True) if b.label != said and x == GOOD)
+    return said if certain <= sum(len(b.text) for b in found if b.label == said) else ""
+
+
+def second_pass(found: list[Block], labels: list[str], border: str) -> list[str]:
+    """Labels in which the ambiguous blocks have taken those of their neighbours, border being that of what is beyond."""
     n = len(labels)
-    before, after = [BAD] * n, [BAD] * n
+    before, after = [border] * n, [border] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last, near = BAD, False
+        last, near = border, False
         for i in order:
             side[i] = NEAR if near and last == BAD else last
             if labels[i] in (GOOD, BAD):
@@ -249,33 +260,42 @@ def second_pass(found: list[Block], labels: list[str]) -> list[str]:
     return out
 
 
-def main_text(html: str | None) -> str:
+def classified(html: str | None) -> list[tuple[Block, str, str]]:
+    """Each block with its label after the first pass (where a doubtful BAD is SHORT) and after the second; blocks beyond the
+    region are BAD in both."""
     found = blocks(html or "")
-    said = next((x for x in (GOOD, NAMED) if any(b.label == x for b in found)), "")
-    # text that the rules are certain of, and more of it than the article's: a teaser or one line of the page was marked
-    certain = sum(len(b.text) for b in found if b.label != said and b.label != BAD and first_pass(Block(b.text, b.link_chars, b.tag, "")) == GOOD)
-    if said and certain <= sum(len(b.text) for b in found if b.label == said):  # the page says what its article is
-        labels = [first_pass(b) if b.label == said else BAD for b in found]
-    else:
-        labels = [first_pass(Block(b.text, b.link_chars, b.tag, BAD if b.label == BAD else "")) for b in found]
-        if GOOD not in labels:  # nothing is certain: the long blocks are
-            labels = [GOOD if x == NEAR and len(b.text) > LONG_CHARS else x for x, b in zip(labels, found, strict=True)]
+    labels = [first_pass(b) for b in found]
+    region = region_of(found, labels)
+    if region:
+        labels = [SHORT if x == BAD else x for x in labels]
+    elif GOOD not in labels:  # nothing is certain: the long blocks are, or else those with enough stop words
+        labels = [GOOD if x == NEAR and len(b.text) > LONG_CHARS else x for x, b in zip(labels, found, strict=True)]
         if GOOD not in labels:
             labels = [GOOD if x == NEAR else x for x in labels]
-    return "\n\n".join(b.text for b, x in zip(found, second_pass(found, labels), strict=True) if x == GOOD)
+    inside = [i for i, b in enumerate(found) if not region or b.label == region]
+    last = second_pass([found[i] for i in inside], [labels[i] for i in inside], GOOD if region else BAD)
+    out = [(b, BAD, BAD) for b in found]
+    for i, x in zip(inside, last, strict=True):
+        out[i] = (found[i], labels[i], x)
+    return out
+
+
+def main_text(html: str | None) -> str:
+    return "\n\n".join(b.text for b, _, x in classified(html) if x == GOOD)
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """The columns of pages but html, and the main text."""
+    """The columns of pages but html, and the main text, which replaces a column of its name."""
     bounded_batches(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html, text)]
+    (source,) = fresh(pages, "html")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = pa.array([main_text(x) for x in batch.column("__html").to_pylist()], pa.string())
+        texts = pa.array([main_text(x) for x in batch.column(source).to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], texts], [*kept, text])
 
     schema = pages.select(*kept, F.lit("").alias(text)).schema
-    return pages.select(*kept, F.col(html).cast("string").alias("__html")).mapInArrow(per_slice(run, "__html"), schema)
+    return pages.select(*kept, F.col(html).cast("string").alias(source)).mapInArrow(per_slice(run, source), schema)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

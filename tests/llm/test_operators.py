@@ -251,6 +251,34 @@ def test_html_marked_teasers_are_not_the_page():
     assert html.main_text(f"<article><p>{PROSE}</p><p>{PROSE}</p></article><div>{PROSE}</div>") == f"{text}\n\n{text}"
 
 
+@pytest.mark.parametrize(
+    ("inner", "kept"),
+    [
+        ('<ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul>', ["One", "Two"]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so.</p>", ["Let x=2 be so."]),
+        ('<div class="share-price">Shares rose by two.</div>', ["Shares rose by two."]),
+        ('<div class="notes navigation-systems">Radar helps.</div>', ["Radar helps."]),
+        ("<table><tr><th>Year</th><td>1999</td></tr></table>", ["Year", "1999"]),
+        ('<p><a href="/x">A paragraph that is a link as a whole.</a></p>', ["A paragraph that is a link as a whole."]),
+        ('<div class="share-buttons">no</div><div id="comments-12"><p>no</p></div><p class="cookie_notice">no</p><div class="advert advert--wide">no</div>', []),
+        ('<div class="left-sidebar">no</div><div class="relatedPosts">no</div><div class="wp-block-navigation">no</div><form>no</form><footer>no</footer>', []),
+    ],
+)
+def test_html_of_an_article(inner, kept):
+    text = " ".join(PROSE.split())
+    page = f'<body class="has-comments"><header>no</header><div class="menu">no</div><article><p>{PROSE}</p>{inner}<p>{PROSE}</p></article><footer>no</footer></body>'
+    assert html.main_text(page) == "\n\n".join([text, *kept, text])
+
+
+def test_html_without_article_tags():
+    text = " ".join(PROSE.split())
+    links = "".join(f'<li><a href="/{i}">Link number {i} of many</a></li>' for i in range(8))
+    page = f'<body><ul>{links}</ul><div class="social-media-report"><h2>A heading</h2><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></div><ul>{links}</ul><div>© someone</div></body>'
+    assert html.main_text(page) == f"A heading\n\n{text}\n\nShort one.\n\n{text}"
+    decided = [(first, last) for _, first, last in html.classified(page)]
+    assert decided.count((html.GOOD, html.GOOD)) == 2 and (html.SHORT, html.GOOD) in decided and (html.SHORT, html.BAD) in decided and decided.count((html.BAD, html.BAD)) == 16
+
+
 def test_html_operator(spark):
     df = spark.createDataFrame([(i, "u", x, "clash") for i, (x, _) in enumerate(PAGES)] + [(None, None, None, None)], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in html.extract(df).collect()}
