@@ -187,8 +187,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         of = codec(vocabulary, pattern)
         gc.disable()  # nothing here is cyclic, and the memos are long to look through
-        ids = [of.encode(x) for x in batch.column("text").to_pylist()]
-        gc.enable()
+        try:
+            ids = [of.encode(x) for x in batch.column("text").to_pylist()]
+        finally:
+            gc.enable()
         ends = np.cumsum([0, *map(len, ids)])
         flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1]))
         decoded = pa.array([of.decode(x) for x in ids], pa.binary())

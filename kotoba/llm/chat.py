@@ -200,7 +200,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
 
 
 def format_records(records: DataFrame, json: str = "json", mappings: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
-    """formatted and loss for each JSON record; null for records of unknown layouts."""
+    """records with turns, formatted and loss, which replace columns of these names; null for records of unknown layouts."""
     made = records.select("*", canonical_turns(F.col(json), mappings).alias("turns"))
     made = made.withColumn("formatted", F.when(F.col("turns").isNotNull(), render(F.col("turns"))))
     return made.withColumn("loss", loss_spans(F.col("formatted")))

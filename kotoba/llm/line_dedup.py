@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import bounded_batches, per_slice, table, written
+from .runtime import bounded_batches, fresh, per_slice, table, written
 
 WINDOW = 3
 BLANK = " \t\n\x0b\x0c\r"
@@ -67,14 +67,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rem
     """docs with text without its repeated lines, and a column with the numbers (from 0) of the lines removed."""
     bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    marks = covered_lines(keyed).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
+    mark_id, mark_th, mark_starts = fresh(docs, "id", "th", "starts")
+    marks = covered_lines(keyed).select(F.col("doc_id").alias(mark_id), F.col("th").alias(mark_th), F.col("starts").alias(mark_starts))
     kept = [c for c in docs.columns if c != removed]
-    joined = docs.select(*kept).join(marks, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__th")), "left")
+    joined = docs.select(*kept).join(marks, F.col(doc_id).cast("long").eqNullSafe(F.col(mark_id)) & (F.xxhash64(F.col(text)) == F.col(mark_th)), "left")
     schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(removed, T.ArrayType(T.IntegerType()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, gone = [], []
-        for value, starts in zip(batch.column(text).to_pylist(), batch.column("__starts").to_pylist(), strict=True):
+        for value, starts in zip(batch.column(text).to_pylist(), batch.column(mark_starts).to_pylist(), strict=True):
             if not starts:
                 texts.append(value)
                 gone.append([])

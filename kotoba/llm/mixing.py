@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import WORD, table, text_or_empty, written
+from .runtime import WORD, fresh, table, text_or_empty, written
 
 OTHER = "other"
 #: Cells up to which their weights are broadcast: some 100 bytes each, so 2 MB at most.
@@ -73,17 +73,22 @@ def _pick(values: Mapping[str, float], key: Column) -> Column:
     return out
 
 
-def marked(docs: DataFrame, targets: Targets, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """docs with __source, __lang, __topic and __tokens."""
+#: What marked() adds to documents, by names that these have not.
+MARKS = ("source", "lang", "topic", "tokens")
+
+
+def marked(docs: DataFrame, targets: Targets, names: tuple[str, ...], text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None) -> DataFrame:
+    """docs with the columns of MARKS under the given names. The topic is that of a column, where one is named, else that
+    of TOPICS; a topic that isn't declared counts as OTHER."""
     body = text_or_empty(text)
-    known = F.col(lang).isin(*[x for x in targets.languages if x != OTHER])
-    return docs.select(
-        "*",
-        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"),
-        F.when(known, F.col(lang)).otherwise(F.lit(OTHER)).alias("__lang"),
-        topic_of(body).alias("__topic"),
-        F.regexp_count(body, F.lit(WORD)).cast("long").alias("__tokens"),
+    declared = lambda name, values: F.when(F.col(name).isin(*[x for x in values if x != OTHER]), F.col(name)).otherwise(F.lit(OTHER))
+    made = (
+        F.coalesce(F.col(source).cast("string"), F.lit("")),
+        declared(lang, targets.languages),
+        declared(topic, targets.topics) if topic else topic_of(body),
+        F.regexp_count(body, F.lit(WORD)).cast("long"),
     )
+    return docs.select("*", *[x.alias(name) for x, name in zip(made, names, strict=True)])
 
 
 def _scaled(shares: Mapping[str, float], present: Mapping[str, float]) -> dict[str, float]:
@@ -117,9 +122,9 @@ def _moved(factor: float, target: float, capped: float, loose: float) -> float:
 
 
 def cell_weights(rows: DataFrame, targets: Targets, settled: bool = True) -> DataFrame:
-    """(source, lang, topic, weight, probability) of every cell of marked rows; if not settled, after the fixed numbers
-    of rounds and steps."""
-    cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").cast("double").alias("tokens"))
+    """(source, lang, topic, weight, probability) of every cell of rows (source, lang, topic, tokens); if not settled,
+    after the fixed numbers of rounds and steps."""
+    cells = rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").cast("double").alias("tokens"))
     # a source has a cell for each declared language and topic at most
     by_source = cells.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("lang", "topic", "tokens"))).alias("cells"), F.sum("tokens").alias("supply"))
     sources = written(by_source, "sources")
@@ -213,16 +218,29 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", settled: bool = True) -> DataFrame:  # noqa: B008
-    """docs with topic, n_tokens, weight, probability and sampled."""
-    made = ["topic", "n_tokens", "weight", "probability", "sampled"]
-    rows = marked(docs, targets, text, source, lang)
-    weights = written(cell_weights(rows, targets, settled), "weights").toDF("__source", "__lang", "__topic", "__weight", "__probability")
+def _weighed(docs: DataFrame, targets: Targets, seed: str, doc_id: str, text: str, source: str, lang: str, topic: str | None, settled: bool) -> tuple[DataFrame, dict[str, Column]]:
+    """docs with columns of our own, and what mix() makes of them."""
+    names = fresh(docs, *MARKS, "weight", "probability")
+    rows = marked(docs, targets, names[:4], text, source, lang, topic)
+    counted = rows.select(*[F.col(n).alias(m) for n, m in zip(names, MARKS, strict=False)])
+    weights = written(cell_weights(counted, targets, settled), "weights").toDF(*names[:3], *names[4:])
     if weights.count() <= BROADCAST_CELLS:
         weights = F.broadcast(weights)
-    joined = rows.join(weights, ["__source", "__lang", "__topic"], "left")
-    kept = [F.col(c) for c in docs.columns if c not in made]
-    return joined.select(*kept, F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__probability").alias("probability"), (uniform(F.col(doc_id), seed) < F.col("__probability")).alias("sampled"))
+    made = {"topic": F.col(names[2]), "n_tokens": F.col(names[3]), "weight": F.col(names[4]), "probability": F.col(names[5]), "sampled": uniform(F.col(doc_id), seed) < F.col(names[5])}
+    return rows.join(weights, list(names[:3]), "left"), made
+
+
+def mix(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, settled: bool = True) -> DataFrame:  # noqa: B008
+    """docs with topic, n_tokens, weight, probability and sampled, which replace columns of these names. `topic` names a
+    column that holds the topics, as a classifier gives them; without it they are those of TOPICS."""
+    rows, made = _weighed(docs, targets, seed, doc_id, text, source, lang, topic, settled)
+    return rows.select(*[F.col(c) for c in docs.columns if c not in made], *[x.alias(n) for n, x in made.items()])
+
+
+def sampled(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None) -> DataFrame:  # noqa: B008
+    """The rows of docs that mix() samples, with their own columns alone."""
+    rows, made = _weighed(docs, targets, seed, doc_id, text, source, lang, topic, True)
+    return rows.where(made["sampled"]).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

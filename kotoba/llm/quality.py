@@ -43,8 +43,13 @@ class Rules:
     min_shout_words: int = 4
     max_one_word_share: float = 0.5  # the commonest neighbour pair "w w" in lines of min_shout_words or more
     boilerplate: tuple[str, ...] = field(
-        default=("javascript", "lorem ipsum", "cookie policy", "privacy policy", "terms of use", "terms of service", "use cookies", "all rights reserved", "click here", "sign up", "log in", "subscribe to")
-    )
+        default=(
+            "javascript", "lorem ipsum", "cookie policy", "privacy policy", "terms of use", "terms of service", "use cookies", "all rights reserved", "click here", "sign up", "log in", "subscribe to",
+            "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "hier klicken", "newsletter abonnieren",
+            "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "cliquez ici", "abonnez-vous",
+            "todos los derechos reservados", "política de privacidad", "condiciones de uso", "utiliza cookies", "haga clic aquí", "suscríbete",
+        )
+    )
     boilerplate_words: int = 25  # longer lines aren't boilerplate as a whole
     max_lost_share: float = 0.5  # of the words: a document that loses more goes
 

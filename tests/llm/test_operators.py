@@ -122,6 +122,21 @@ def test_line_dedup(docs, empty, rows):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_names_of_columns_clash(spark):
+    """Columns named as our own keep their values."""
+    text = "\n".join(["One line here that is long.", "Two lines here that are long.", "Three lines here that are long."])
+    row = (text, "en", "s", "mine", "mine", "mine", "mine", "mine", "mine", "mine", True)
+    names = ["text", "lang", "source", "__id", "__TH", "__starts", "__source", "__lang", "topic", "weight", "sampled"]
+    df = spark.createDataFrame([(i, *row) for i in range(1, 41)], ["doc_id", *names])
+    for out in (line_dedup.dedup_lines(df).drop("removed_lines"), mixing.sampled(df), quality.clean_documents(df)):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert r[4:] == row[3:]
+    assert 0 < mixing.sampled(df).count() < 40
+    assert {r.topic for r in mixing.mix(df.withColumn("kind", F.lit("legal")), topic="kind").collect()} == {"legal"}
+    assert {r.topic for r in mixing.mix(df.withColumn("kind", F.lit("unheard")), topic="kind").collect()} == {"other"}
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------------
 
 
@@ -346,6 +361,7 @@ def test_lines_are_judged_one_by_one():
     rules = quality.Rules()
     judge = lambda x: quality.verdict(x, x.split(), rules)
     assert judge("Please enable JavaScript to go on.") == "boilerplate"
+    assert judge("Alle Rechte vorbehalten.") == judge("Tous droits réservés.") == judge("Todos los derechos reservados.") == "boilerplate"
     assert judge("Home | About | Contact") == "navigation"
     assert judge("bad$$$ worse### worst***.") == "symbols"
     assert judge("THIS IS ALL SHOUTED.") == "shouting"
