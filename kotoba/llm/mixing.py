@@ -77,16 +77,16 @@ def _pick(values: Mapping[str, float], key: Column) -> Column:
 MARKS = ("source", "lang", "topic", "tokens")
 
 
-def marked(docs: DataFrame, targets: Targets, names: tuple[str, ...], text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None) -> DataFrame:
+def marked(docs: DataFrame, targets: Targets, names: tuple[str, ...], text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, tokens: str | None = None) -> DataFrame:
     """docs with the columns of MARKS under the given names. The topic is that of a column, where one is named, else that
-    of TOPICS; a topic that isn't declared counts as OTHER."""
-    body = text_or_empty(text)
+    of TOPICS; a topic that isn't declared counts as OTHER. Tokens are those of a column, or words of the text."""
+    body = None if topic and tokens else text_or_empty(text)
     declared = lambda name, values: F.when(F.col(name).isin(*[x for x in values if x != OTHER]), F.col(name)).otherwise(F.lit(OTHER))
     made = (
         F.coalesce(F.col(source).cast("string"), F.lit("")),
         declared(lang, targets.languages),
         declared(topic, targets.topics) if topic else topic_of(body),
-        F.regexp_count(body, F.lit(WORD)).cast("long"),
+        F.coalesce(F.col(tokens), F.lit(0)).cast("long") if tokens else F.regexp_count(body, F.lit(WORD)).cast("long"),
     )
     return docs.select("*", *[x.alias(name) for x, name in zip(made, names, strict=True)])
 
@@ -218,10 +218,10 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
 
 
-def _weighed(docs: DataFrame, targets: Targets, seed: str, doc_id: str, text: str, source: str, lang: str, topic: str | None, settled: bool) -> tuple[DataFrame, dict[str, Column]]:
+def _weighed(docs: DataFrame, targets: Targets, seed: str, doc_id: str, text: str, source: str, lang: str, topic: str | None, tokens: str | None, settled: bool) -> tuple[DataFrame, dict[str, Column]]:
     """docs with columns of our own, and what mix() makes of them."""
     names = fresh(docs, *MARKS, "weight", "probability")
-    rows = marked(docs, targets, names[:4], text, source, lang, topic)
+    rows = marked(docs, targets, names[:4], text, source, lang, topic, tokens)
     counted = rows.select(*[F.col(n).alias(m) for n, m in zip(names, MARKS, strict=False)])
     weights = written(cell_weights(counted, targets, settled), "weights").toDF(*names[:3], *names[4:])
     if weights.count() <= BROADCAST_CELLS:
@@ -230,22 +230,26 @@ def _weighed(docs: DataFrame, targets: Targets, seed: str, doc_id: str, text: st
     return rows.join(weights, list(names[:3]), "left"), made
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, settled: bool = True) -> DataFrame:  # noqa: B008
+def mix(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, tokens: str | None = None, settled: bool = True) -> DataFrame:  # noqa: B008
     """docs with topic, n_tokens, weight, probability and sampled, which replace columns of these names. `topic` names a
-    column that holds the topics, as a classifier gives them; without it they are those of TOPICS."""
-    rows, made = _weighed(docs, targets, seed, doc_id, text, source, lang, topic, settled)
+    column that holds the topics, as a classifier gives them, and `tokens` one with their number; without them the topics are
+    those of TOPICS and the tokens words."""
+    rows, made = _weighed(docs, targets, seed, doc_id, text, source, lang, topic, tokens, settled)
     return rows.select(*[F.col(c) for c in docs.columns if c not in made], *[x.alias(n) for n, x in made.items()])
 
 
-def sampled(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None) -> DataFrame:  # noqa: B008
+def sampled(docs: DataFrame, targets: Targets = Targets(), seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: str | None = None, tokens: str | None = None) -> DataFrame:  # noqa: B008
     """The rows of docs that mix() samples, with their own columns alone."""
-    rows, made = _weighed(docs, targets, seed, doc_id, text, source, lang, topic, True)
+    rows, made = _weighed(docs, targets, seed, doc_id, text, source, lang, topic, tokens, True)
     return rows.where(made["sampled"]).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its calibrated probability, as OP4_SQL has it, and whether it is sampled."""
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), settled=False)
+    body = text_or_empty()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", topic_of(body).alias("topic"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_tokens"))
+    # written, so the texts are read once for the counts and the result
+    out = mix(written(docs, "marks"), topic="topic", tokens="n_tokens", settled=False)
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 

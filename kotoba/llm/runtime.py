@@ -56,11 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clean(but: int = 0) -> None:
-    """Deletes the tables that written() has made, but for the latest ones if asked so. What is read from them must be
-    over by then."""
-    gone = _written[: len(_written) - but]
-    del _written[: len(gone)]
+def tables_written() -> int:
+    """How many tables of written() there are."""
+    return len(_written)
+
+
+def clean(since: int = 0, but: int = 0) -> None:
+    """Deletes the tables that written() has made, from number `since` on and but for the latest ones if asked so. What is
+    read from them must be over by then."""
+    gone = _written[since : len(_written) - but]
+    del _written[since : since + len(gone)]
     for spark, path in reversed(gone):
         try:
             jvm = spark.sparkContext._jvm
