@@ -148,7 +148,8 @@ def _labels(labels: Iterable[str]) -> Column:
 
 def _chosen(tagged: Column, keep) -> Column:
     pairs = F.filter(F.arrays_zip(tagged["words"].alias("words"), tagged["postags"].alias("postags")), keep)
-    return F.struct(F.transform(pairs, lambda p: p["words"]).alias("words"), F.transform(pairs, lambda p: p["postags"]).alias("postags")).cast(TAGGED_DDL)
+    kept = F.struct(F.transform(pairs, lambda p: p["words"]).alias("words"), F.transform(pairs, lambda p: p["postags"]).alias("postags")).cast(TAGGED_DDL)
+    return F.when(tagged.isNotNull(), kept)
 
 
 def drop_labels(tagged: Column | str, labels: Iterable[str]) -> Column:
@@ -186,4 +187,4 @@ def normalize_tokens(words: Column, strict: bool = True) -> Column:
     empty = F.array_position(made, F.lit(""))
     if not strict:
         return F.when(empty == 0, made)
-    return F.when(empty == 0, made).when(words.isNotNull(), F.raise_error(F.concat(F.lit("token "), (empty - 1).cast("string"), F.lit(" is empty after normalization"))).cast("array<string>"))
+    return F.when(empty == 0, made).when(words.isNotNull(), F.raise_error(F.concat(F.lit("token "), (empty - 1).cast("string"), F.lit(" is empty once trimmed"))).cast("array<string>"))

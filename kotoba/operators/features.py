@@ -53,6 +53,15 @@ def candidates(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, len
     return found.select(key, (F.col("start") + (F.col("length") - 1 if at_end else F.lit(0))).alias("pos"), "word", "length")
 
 
+def candidate_lists(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, lengths: list[int], at_end: bool = False, oov: str = "oov") -> DataFrame:
+    """(key, pos, words) for every place of every text: its candidates in ascending length, or [oov] where there is none.
+    Keys are unique."""
+    found = candidates(texts, key, text, vocabulary, lengths, at_end)
+    lists = found.groupBy(key, "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("length", "word"))), lambda x: x["word"]).alias("words"))
+    places = texts.where(F.length(text) > 0).select(key, F.explode(F.sequence(F.lit(0), F.length(text) - 1)).alias("pos"))
+    return places.join(lists, [key, "pos"], "left").select(key, "pos", F.coalesce("words", F.array(F.lit(oov))).alias("words"))
+
+
 def _grams(text: Column, length: Column) -> Column:
     """All substrings of a length, each cut once out of a lengthwise pass over the characters."""
     c = chars(text)

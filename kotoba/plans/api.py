@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.text import WIDE_SPACE, drop_labels, take_labels
 from ..functions.unicode import check_version, lower_kept, normalize
 from ..operators.dictionary import Trie, force_tags
-from ..schema import POS_LABELS, TAGGED, WORDS, EmptyToken, KotobaError, postags
-from ..sources.model import SEGMENTER_SHAPES, TAGGER_SHAPES, check_digest, read_vocabularies, read_weights
+from ..schema import POS_LABELS, TAGGED, WORDS, EmptyToken, KotobaError, parse_label, postags
+from ..sources.model import MAGIC, SEGMENTER_SHAPES, TAGGER_SHAPES, check_digest, read_vocabularies, read_weights
 from .nn import Network, cut, synthetic
 
 
@@ -65,16 +65,16 @@ class Segmenter:
         return cls(spark, spark.sparkContext.broadcast(net))
 
     @classmethod
-    def load(cls, spark: SparkSession, model_dir: str | Path, digests: Mapping[str, str] | None = None):
+    def load(cls, spark: SparkSession, model_dir: str | Path, digests: Mapping[str, str] | None = None, magic: bytes = MAGIC):
         """A model from its directory: one vocabulary file (.dict) and one of weights (.model, or .bin.gz). digests: the
-        SHA-256 that files must have, by name."""
+        SHA-256 that files must have, by name. magic: how binary weights begin."""
         weights = next((p for s in (".model", ".bin.gz") for p in sorted(Path(model_dir).glob(f"*{s}"))), None)
         if weights is None:
             raise FileNotFoundError(f"no weights in {model_dir}")
         for name, sha256 in (digests or {}).items():
             check_digest(Path(model_dir) / name, sha256)
         shapes = TAGGER_SHAPES if cls._labels() else SEGMENTER_SHAPES
-        return cls.of(spark, Network(read_vocabularies(_find(model_dir, ".dict"), cls._labels()), read_weights(weights, shapes), cls._labels()))
+        return cls.of(spark, Network(read_vocabularies(_find(model_dir, ".dict"), cls._labels()), read_weights(weights, shapes, magic), cls._labels()))
 
     @classmethod
     def synthetic(cls, spark: SparkSession, seed: int = 0):
@@ -109,13 +109,17 @@ class Segmenter:
         return F.arrow_udf(run, WORDS)(text)
 
     def register(self, prefix: str = "ja") -> None:
-        """SQL functions: <prefix>_words(text)."""
+        """SQL functions: <prefix>_words(text) and <prefix>_words_lower(text)."""
         model, trie = self.model, self._trie()
 
-        def run(column: pa.Array) -> pa.Array:
-            return _strings(segment(model.value, trie, column.to_pylist(), False))
+        def function(lower: bool):
+            def run(column: pa.Array) -> pa.Array:
+                return _strings(segment(model.value, trie, column.to_pylist(), lower))
+
+            return F.arrow_udf(run, WORDS)
 
-        self.spark.udf.register(f"{prefix}_words", F.arrow_udf(run, WORDS))
+        for tail, lower in (("", False), ("_lower", True)):
+            self.spark.udf.register(f"{prefix}_words{tail}", function(lower))
 
 
 @dataclass(frozen=True, repr=False)
@@ -145,22 +149,45 @@ class Tagger(Segmenter):
         model = self.model
 
         def run(column: pa.Array) -> pa.Array:
-            made: list[list[str] | None] = []
-            for row in column.to_pylist():
-                try:
-                    made.append(None if row is None else tokens(row, lower))
-                except KotobaError:
-                    if strict:
-                        raise
-                    made.append(None)
-            known = [i for i, x in enumerate(made) if x is not None]
-            out: list[list[str] | None] = [None] * len(made)
-            for i, ids in zip(known, model.value.label_ids([made[i] for i in known]), strict=True):
-                out[i] = [POS_LABELS[k] for k in ids]
-            return _strings(out)
+            return _postags(model.value, column, lower, strict)
 
         return F.arrow_udf(run, WORDS)(words)
 
+    def register(self, prefix: str = "ja") -> None:
+        """SQL functions: words(text), tagging(text), postagging(words), filter(text, labels) and extract(text, labels)
+        after <prefix>_, and each with _lower after its name. An unknown label stops the query."""
+        super().register(prefix)
+        model, trie = self.model, self._trie()
+
+        def tagging(lower: bool):
+            def run(column: pa.Array) -> pa.Array:
+                return _tagged(model.value, segment(model.value, trie, column.to_pylist(), lower))
+
+            return F.arrow_udf(run, TAGGED)
+
+        def postagging(lower: bool):
+            def run(column: pa.Array) -> pa.Array:
+                return _postags(model.value, column, lower, True)
+
+            return F.arrow_udf(run, WORDS)
+
+        def chosen(lower: bool, keep: bool):
+            def run(column: pa.Array, labels: pa.Array) -> pa.Array:
+                found = _tagged(model.value, segment(model.value, trie, column.to_pylist(), lower)).to_pylist()
+                for row, some in zip(found, labels.to_pylist(), strict=True):
+                    some = {parse_label(x) for x in some or ()}
+                    if row is not None:
+                        pairs = [(w, p) for w, p in zip(row["words"], row["postags"], strict=True) if (p in some) == keep]
+                        row["words"], row["postags"] = [w for w, _ in pairs], [p for _, p in pairs]
+                return _pairs([x and x["words"] for x in found], [x and x["postags"] for x in found])
+
+            return F.arrow_udf(run, TAGGED)
+
+        for tail, lower in (("", False), ("_lower", True)):
+            made = {"tagging": tagging(lower), "postagging": postagging(lower), "filter": chosen(lower, False), "extract": chosen(lower, True)}
+            for name, function in made.items():
+                self.spark.udf.register(f"{prefix}_{name}{tail}", function)
+
     def filter(self, text: Column | str, labels: Iterable[str], lower: bool = False) -> Column:
         """Tagged text without tokens of these labels; the whole text is tagged first."""
         return drop_labels(self.tagging(text, lower), labels)
@@ -170,10 +197,30 @@ class Tagger(Segmenter):
         return take_labels(self.tagging(text, lower), labels)
 
 
+def _postags(net: Network, column: pa.Array, lower: bool, strict: bool) -> pa.Array:
+    made: list[list[str] | None] = []
+    for row in column.to_pylist():
+        try:
+            made.append(None if row is None else tokens(row, lower))
+        except KotobaError:
+            if strict:
+                raise
+            made.append(None)
+    known = [i for i, x in enumerate(made) if x is not None]
+    out: list[list[str] | None] = [None] * len(made)
+    for i, ids in zip(known, net.label_ids([made[i] for i in known]), strict=True):
+        out[i] = [POS_LABELS[k] for k in ids]
+    return _strings(out)
+
+
+def _pairs(words: list[list[str] | None], labels: list[list[str] | None]) -> pa.Array:
+    mask = pa.array([x is None for x in words])
+    return pa.StructArray.from_arrays([_strings(words), _strings(labels)], fields=[pa.field("words", _strings([]).type), pa.field("postags", _strings([]).type)], mask=mask)
+
+
 def _tagged(net: Network, found: list[list[str] | None]) -> pa.Array:
     known = [i for i, x in enumerate(found) if x is not None]
     labels: list[list[str] | None] = [None] * len(found)
     for i, ids in zip(known, net.label_ids([found[i] for i in known]), strict=True):
         labels[i] = [POS_LABELS[k] for k in ids]
-    mask = pa.array([x is None for x in found])
-    return pa.StructArray.from_arrays([_strings(found), _strings(labels)], fields=[pa.field("words", _strings([]).type), pa.field("postags", _strings([]).type)], mask=mask)
+    return _pairs(found, labels)

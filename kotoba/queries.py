@@ -43,8 +43,8 @@ TRANSITIONS = tuple(tuple(((3 * a + 5 * b) % 8 - 4) / 4 for b in range(6)) for a
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text) of the documents and the lines."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """(doc_id, text) of the documents and the lines, on all cores."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.unionByName(spark.createDataFrame(list(LINES), "doc_id long, text string"))
 
 
@@ -109,6 +109,18 @@ def _candidates(at_end: bool) -> Query:
     return run
 
 
+def _candidate_lists(at_end: bool) -> Query:
+    """How often each list of candidates stands at a place."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vocabulary = spark.createDataFrame([(w, i) for i, w in enumerate(VOCABULARY)], "key string, id int")
+        rows = texts(spark, sf_dir).where("text IS NOT NULL")
+        found = features.candidate_lists(rows, "doc_id", "text", vocabulary, [len(w) for w in VOCABULARY], at_end)
+        return found.groupBy(F.array_join("words", "|").alias("words")).agg(F.count("*").alias("n"))
+
+    return run
+
+
 def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best paths for emissions from code points, over whole texts, by the batched kernel."""
 
@@ -128,7 +140,7 @@ def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.array(out, pa.list_(pa.int32()))
 
     path = F.arrow_udf(run, "array<int>")(F.col("text"))
-    return spread(texts(spark, sf_dir)).select("doc_id", path.alias("path")).select("doc_id", F.size("path").alias("n"), F.md5(F.array_join(F.col("path").cast("array<string>"), "").cast("binary")).alias("md5"))
+    return texts(spark, sf_dir).select("doc_id", path.alias("path")).select("doc_id", F.size("path").alias("n"), F.md5(F.array_join(F.col("path").cast("array<string>"), "").cast("binary")).alias("md5"))
 
 
 def bmes_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,12 +241,12 @@ def candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by a network with random weights: shows that it runs, not what real words are."""
-    rows = spread(texts(spark, sf_dir)).select("doc_id", Segmenter.synthetic(spark).with_words(ENTRIES).words("text").alias("w"))
+    rows = texts(spark, sf_dir).select("doc_id", Segmenter.synthetic(spark).with_words(ENTRIES).words("text").alias("w"))
     return rows.select("doc_id", *digest(F.col("w")))
 
 
 def tag_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(texts(spark, sf_dir)).select("doc_id", Tagger.synthetic(spark).tagging("text").alias("x"))
+    rows = texts(spark, sf_dir).select("doc_id", Tagger.synthetic(spark).tagging("text").alias("x"))
     return rows.select("doc_id", F.size("x.words").cast("long").alias("n"), F.md5(F.array_join("x.postags", "|").cast("binary")).alias("md5"))
 
 
@@ -246,6 +258,8 @@ QUERIES: dict[str, Query] = {
     "vocab_lookup_oov": vocab_lookup_oov,
     "word_start_candidates": _candidates(False),
     "word_end_candidates": _candidates(True),
+    "word_start_lists": _candidate_lists(False),
+    "word_end_lists": _candidate_lists(True),
     "viterbi_decode": viterbi_decode,
     "bmes_assemble": bmes_assemble,
     "dictionary_spans": dictionary_spans,
@@ -309,6 +323,18 @@ def _candidates_sql(at_end: bool) -> str:
     return f"WITH {_CHARS}, ahead AS (SELECT doc_id, pos, ch{ahead} AS g FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), grams AS ({grams}) SELECT word, count(*) AS n, sum(pos)::BIGINT AS places FROM grams WHERE word IN ({known}) GROUP BY word"
 
 
+def _lists_sql(at_end: bool) -> str:
+    most = max(map(len, VOCABULARY))
+    way = "coalesce(lag(ch, {k}) OVER w, '') || " if at_end else " || coalesce(lead(ch, {k}) OVER w, '')"
+    more = [way.format(k=k) for k in range(1, most)]
+    text = "".join(reversed(more)) + "ch" if at_end else "ch" + "".join(more)
+    cut = "right" if at_end else "left"
+    each = [f"CASE WHEN length(g) >= {n} AND {cut}(g, {n}) IN ({', '.join(map(_quoted, VOCABULARY))}) THEN {cut}(g, {n}) END" for n in sorted({len(w) for w in VOCABULARY})]
+    return f"""WITH {_CHARS}, around AS (SELECT {text} AS g FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+lists AS (SELECT list_filter([{', '.join(each)}], lambda x: x IS NOT NULL) AS l FROM around)
+SELECT CASE WHEN len(l) = 0 THEN 'oov' ELSE array_to_string(l, '|') END AS words, count(*) AS n FROM lists GROUP BY 1"""
+
+
 def _select_sql(condition: str) -> str:
     return f"""WITH {_WORDS}, tagged AS (SELECT doc_id, w, list_transform(w, lambda x: {_LABELS}[length(x) % 24 + 1]) AS p FROM words),
 kept AS (SELECT doc_id, list_filter(list_zip(w, p), lambda x: {condition}) AS z FROM tagged)
@@ -326,6 +352,8 @@ ORACLE_SQL: dict[str, str] = {
     "vocab_lookup_oov": f"WITH {_CHARS} SELECT CASE WHEN instr({_quoted(UNI)}, ch) > 0 THEN instr({_quoted(UNI)}, ch) + 1 ELSE 0 END::INTEGER AS id, count(*) AS n FROM chars GROUP BY 1",
     "word_start_candidates": _candidates_sql(False),
     "word_end_candidates": _candidates_sql(True),
+    "word_start_lists": _lists_sql(False),
+    "word_end_lists": _lists_sql(True),
     "bmes_assemble": f"WITH {_CHARS}, tags AS (SELECT doc_id, pos, ch, unicode(ch) % 4 AS tag FROM chars), " + _assembled("tags"),
     "dictionary_spans": f"WITH {_PIECES} SELECT t.doc_id, count(start)::BIGINT AS n, coalesce(string_agg(start || ':' || len, ',' ORDER BY k), '') AS spans FROM texts t LEFT JOIN found f ON f.doc_id = t.doc_id WHERE text IS NOT NULL GROUP BY t.doc_id",
     "force_span_tags": f"WITH {_FORCED} SELECT t.doc_id, count(tag)::BIGINT AS n, md5(coalesce(string_agg(tag::VARCHAR, '' ORDER BY pos), '')) AS md5 FROM texts t LEFT JOIN tags x ON x.doc_id = t.doc_id WHERE text IS NOT NULL GROUP BY t.doc_id",

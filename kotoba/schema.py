@@ -30,7 +30,7 @@ class UnknownLabel(KotobaError, ValueError):
 
 class EmptyToken(KotobaError, ValueError):
     def __init__(self, index: int):
-        super().__init__(f"token {index} is empty after normalization")
+        super().__init__(f"token {index} is empty once trimmed")
         self.index = index
 
 
@@ -42,6 +42,14 @@ class PickleError(KotobaError, ValueError):
     """A vocabulary file that is cut short, uses an opcode outside the allowed ones or has another shape."""
 
 
+class ModelIo(KotobaError, OSError):
+    """A model file that can't be read."""
+
+
+class ModelGzip(KotobaError, ValueError):
+    """A compressed model file that is cut short or damaged."""
+
+
 class ModelHeader(KotobaError, ValueError):
     """A parameter header that can't be read."""
 

@@ -8,6 +8,7 @@ import io
 import pickle
 import pickletools
 import re
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 from pathlib import Path
@@ -15,10 +16,10 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schema import POS_LABELS, InvalidVocabulary, ModelHeader, ModelMissing, ModelShape, ModelValue, PickleError
+from ..schema import POS_LABELS, InvalidVocabulary, ModelGzip, ModelHeader, ModelIo, ModelMissing, ModelShape, ModelValue, PickleError
 
 #: The opcodes a vocabulary file may use.
-OPCODES = frozenset("PROTO STOP MARK EMPTY_DICT EMPTY_LIST BINPUT LONG_BINPUT BINGET LONG_BINGET BININT BININT1 BININT2 BINUNICODE SHORT_BINUNICODE SETITEM SETITEMS APPEND APPENDS MEMOIZE FRAME".split())
+OPCODES = frozenset("PROTO STOP MARK EMPTY_DICT EMPTY_LIST BINPUT LONG_BINPUT BINGET LONG_BINGET BININT BININT1 BININT2 BINUNICODE SHORT_BINUNICODE SETITEM SETITEMS APPEND APPENDS MEMOIZE TUPLE".split())
 #: The parameters of the model. None stands for a vocabulary's size.
 SEGMENTER_SHAPES: dict[str, tuple[int | None, ...]] = {
     "/_0": (32, None), "/_1": (16, None), "/_2": (16, None), "/_3": (8, 7), "/_5": (6, 100), "/_6": (6,), "/_7": (6, 6),
@@ -33,8 +34,8 @@ TAGGER_SHAPES: dict[str, tuple[int | None, ...]] = SEGMENTER_SHAPES | {
     "/birnn_2/vanilla-lstm-builder_1/_0": (64, 32), "/birnn_2/vanilla-lstm-builder_1/_1": (64, 16), "/birnn_2/vanilla-lstm-builder_1/_2": (64,),
 }
 HEADER = re.compile(rb"#(?:Parameter|LookupParameter)# (\S+) \{(\d+(?:,\d+)*)\} (\d+)[^\n]*")
-#: A binary file begins with six capital letters, a zero byte and its version.
-BINARY_VERSION = b"\x00\x01"
+#: Fixed value: a binary file begins with six letters, which its maker chooses, a zero byte and its version.
+MAGIC = b"KOTOBA\x00\x01"
 
 
 @dataclass(frozen=True)
@@ -55,8 +56,14 @@ class _Closed(pickle.Unpickler):
 
 
 def _bytes(path: str | Path) -> bytes:
-    data = Path(path).read_bytes()
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    try:
+        data = Path(path).read_bytes()
+    except OSError as error:
+        raise ModelIo(error.errno, f"{path}: {error.strerror}") from error
+    try:
+        return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    except (OSError, EOFError, zlib.error) as error:
+        raise ModelGzip(f"{path}: {error}") from error
 
 
 def unpickle(data: bytes, tagger: bool = True) -> Vocabularies:
@@ -76,8 +83,10 @@ def unpickle(data: bytes, tagger: bool = True) -> Vocabularies:
     for x in found[:4]:
         if not all(isinstance(k, str) and type(v) is int and v >= 0 for k, v in x.items()):
             raise PickleError("not a dictionary from strings to ids")
-    if tagger and not all(isinstance(k, str) and isinstance(v, list) and all(type(i) is int for i in v) for k, v in found[4].items()):
+    if tagger and not all(isinstance(k, str) and isinstance(v, list | tuple) and all(type(i) is int for i in v) for k, v in found[4].items()):
         raise PickleError("not a dictionary from words to lists of ids")
+    if tagger:
+        found[4] = {k: list(v) for k, v in found[4].items()}
     return Vocabularies(*found)
 
 
@@ -92,12 +101,12 @@ def check_digest(path: str | Path, sha256: str) -> None:
         raise InvalidVocabulary(f"{path} has the digest {got}, not {sha256}")
 
 
-def read_weights(path: str | Path, wanted: Iterable[str] | None = None) -> dict[str, np.ndarray]:
+def read_weights(path: str | Path, wanted: Iterable[str] | None = None, magic: bytes = MAGIC) -> dict[str, np.ndarray]:
     """Parameters by name, in the shape that lets a row of inputs be multiplied from the left. Those not wanted are
-    passed over."""
+    passed over. A file that begins with the magic is binary, any other is text."""
     data = _bytes(path)
-    binary = data[6:8] == BINARY_VERSION and data[:6].isalpha() and data[:6].isupper()
-    at, out, names = 8 if binary else 0, {}, None if wanted is None else set(wanted)
+    binary = data.startswith(magic)
+    at, out, names = len(magic) if binary else 0, {}, None if wanted is None else set(wanted)
     while at < len(data):
         end = data.find(b"\n", at)
         head = HEADER.fullmatch(data[at : end if end >= 0 else len(data)])
@@ -121,15 +130,28 @@ def read_weights(path: str | Path, wanted: Iterable[str] | None = None) -> dict[
     return out
 
 
-def write_binary(path: str | Path, weights: dict[str, np.ndarray], letters: bytes = b"KOTOBA") -> None:
+def write_binary(path: str | Path, weights: dict[str, np.ndarray], magic: bytes = MAGIC) -> None:
     """The binary form of weights."""
-    body = [letters + BINARY_VERSION]
+    body = [magic]
     for name, values in weights.items():
         values = np.ascontiguousarray(values, "<f4")
         body.append(f"#Parameter# {name} {{{','.join(map(str, values.shape[::-1]))}}} {values.nbytes}\n".encode() + values.tobytes())
     Path(path).write_bytes(gzip.compress(b"".join(body)))
 
 
+def pack(source: str | Path, target: str | Path, magic: bytes = MAGIC, digest: str | None = None) -> dict[str, str]:
+    """Packs the text form of a whole model's weights into the binary one and returns the SHA-256 of both files. The
+    parameters must be exactly those of the model, in their shapes; digest is what the source must have."""
+    if digest:
+        check_digest(source, digest)
+    weights = read_weights(source, magic=magic)
+    if extra := set(weights) - set(TAGGER_SHAPES):
+        raise ModelHeader(f"unknown parameters: {', '.join(sorted(extra))}")
+    check_weights(weights, TAGGER_SHAPES)
+    write_binary(target, weights, magic)
+    return {Path(p).name: hashlib.sha256(Path(p).read_bytes()).hexdigest() for p in (source, target)}
+
+
 def check_weights(weights: dict[str, np.ndarray], shapes: dict[str, tuple[int | None, ...]]) -> None:
     for name, want in shapes.items():
         if name not in weights:

@@ -1,6 +1,7 @@
 """Readers, validation, the network's arithmetic, and the API on a synthetic model."""
 
 import gzip
+import hashlib
 import json
 import math
 import pickle
@@ -81,6 +82,43 @@ def test_weights_text_and_binary(net, model_dir, tmp_path):
     assert set(m.read_weights(tmp_path / "w.bin.gz", ["/_5", "/_6"])) == {"/_5", "/_6"}
 
 
+def test_weights_are_packed_whole(net, model_dir, tmp_path):
+    digest = hashlib.sha256((model_dir / "v.model").read_bytes()).hexdigest()
+    made = m.pack(model_dir / "v.model", tmp_path / "p.bin.gz", b"OTHERS\x00\x01", digest)
+    assert made["v.model"] == digest and len(made) == 2
+    packed = m.read_weights(tmp_path / "p.bin.gz", magic=b"OTHERS\x00\x01")
+    assert len(packed) == 28 and all((packed[k] == w).all() for k, w in net.weights.items())
+    with pytest.raises(s.ModelHeader):
+        m.read_weights(tmp_path / "p.bin.gz")  # begins with another magic
+    with pytest.raises(s.InvalidVocabulary):
+        m.pack(model_dir / "v.model", tmp_path / "p.bin.gz", digest="0" * 64)
+    text = (model_dir / "v.model").read_bytes()
+    (tmp_path / "more.model").write_bytes(text + b"#Parameter# /_99 {1} 2\n1\n")
+    with pytest.raises(s.ModelHeader):
+        m.pack(tmp_path / "more.model", tmp_path / "p.bin.gz")
+    (tmp_path / "less.model").write_bytes(text[text.index(b"#", 1) :] if text.count(b"#Parameter#") else b"")
+    with pytest.raises(s.KotobaError):
+        m.pack(tmp_path / "less.model", tmp_path / "p.bin.gz")
+
+
+def test_files_that_cant_be_read(tmp_path):
+    with pytest.raises(s.ModelIo):
+        m.read_weights(tmp_path / "none.model")
+    whole = gzip.compress(b"x" * 1000)
+    for damaged in (whole[:-9], whole[:12] + b"\xff" * 8 + whole[20:]):
+        (tmp_path / "v.dict").write_bytes(damaged)
+        with pytest.raises(s.ModelGzip):
+            m.read_vocabularies(tmp_path / "v.dict")
+
+
+def test_tuples_are_lists_and_frames_are_refused():
+    five = [{"a": 0, "oov": 1}, {"oov": 0}, {"oov": 0}, {"x": 0}, {"word": (1, 2, 3, 4)}]
+    data = pickle.dumps(five, 2)
+    assert b"t" in data and m.unpickle(data).word_tags == {"word": [1, 2, 3, 4]}
+    with pytest.raises(s.PickleError):
+        m.unpickle(pickle.dumps([{str(i): i for i in range(50)}] * 5, 4))
+
+
 def test_weight_errors(net, tmp_path):
     def read(data):
         (tmp_path / "x.model").write_bytes(data)
@@ -191,6 +229,20 @@ def test_segmenter(spark, model_dir):
     assert spark.sql("SELECT ja_words('東京') AS w").collect()[0].w == [r for r in df.sparkSession.createDataFrame([("東京",)], "t string").select(seg.words("t")).collect()][0][0]
 
 
+def test_tagger_in_sql(spark):
+    tag = Tagger.synthetic(spark).with_words(["[猫]"])
+    tag.register("tg")
+    df = spark.createDataFrame([(x,) for x in TEXTS], "text string")
+    df.createOrReplaceTempView("some_texts")
+    for lower, tail in ((False, ""), (True, "_lower")):
+        got = spark.sql(f"""SELECT tg_words{tail}(text) AS w, tg_tagging{tail}(text) AS x, tg_filter{tail}(text, array('名詞', '助詞')) AS f, tg_extract{tail}(text, array('名詞', '助詞')) AS e,
+            tg_postagging{tail}(array('東京', 'Python')) AS p FROM some_texts""").collect()
+        some = ["名詞", "助詞"]
+        tokens = spark.createDataFrame([(["東京", "Python"],)], "w array<string>").select(tag.postagging("w", lower)).collect()[0][0]
+        want = df.select(tag.words("text", lower).alias("w"), tag.tagging("text", lower).alias("x"), tag.filter("text", some, lower).alias("f"), tag.extract("text", some, lower).alias("e")).collect()
+        assert sorted(str(r[:4]) for r in got) == sorted(str(tuple(r)) for r in want) and all(r.p == tokens for r in got)
+
+
 def test_tagger(spark):
     tag = Tagger.synthetic(spark)
     df = spark.createDataFrame([(x,) for x in TEXTS], "text string")

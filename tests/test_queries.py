@@ -7,6 +7,7 @@ from common import SF
 
 from kotoba import queries as q
 from kotoba.functions import unicode as u
+from kotoba.plans.nn import candidates
 
 
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
@@ -63,4 +64,10 @@ def test_candidate_order_and_isalnum(spark):
         if u.alnum(r.word):
             want = (want - {0}) | {2}
         assert set(r.ids) == want
+    # what the slots of a set of eight or thirty-two give, derived by hand
+    for ids, noun, want in (
+        ([8, 0], False, [8, 0]), ([0, 8], False, [0, 8]), ([0, 8], True, [8, 2]), ([16, 8, 0], False, [16, 8, 0]), ([10, 2], False, [10, 2]), ([23, 1, 9], False, [1, 9, 23]),
+        ([17, 9, 1], False, [17, 9, 1]), ([17, 9, 1], True, [17, 2, 9, 1]), (list(range(23, -1, -1)), False, list(range(24))),
+    ):
+        assert candidates(ids, noun) == want
     assert all(r.alnum == u.alnum(r.word) for r in q.isalnum(spark, SF).limit(500).collect())

@@ -31,7 +31,7 @@ def test_assemble(spark):
 
 
 PREPROCESS = [("テスト  \t ", "テスト"), ("a b", "a　b"), ("İstanbul", "Istanbul"), ("①②③", "123"), ("ﾊﾝｶｸ", "ハンカク"), ("ｶﾞ", "ガ"), ("　", ""), ("", ""), ("\x1c\x1f", "")]
-LOWER = [("ΑΣ", "ας"), ("ΣΑ", "σα"), ("ΑΣB", "ασb"), ("Σ", "σ"), ("ΑΣ.", "ας."), ("ΑΣ'", "ας'"), ("İA", "ia")]
+LOWER = [("ΑΣ", "ας"), ("ΣΑ", "σα"), ("ΑΣB", "ασb"), ("Σ", "σ"), ("ΑΣ.", "ας."), ("ΑΣ'", "ας'"), ("İA", "ia"), ("İ ΑΣ", "i ας")]
 
 
 def test_preprocess_and_lower(spark):
