@@ -337,10 +337,42 @@ def test_m_tree_leaves_distances_out():
 
 
 def test_top_k_with_huge_numbers(spark):
-    big = 2**52
-    df = spark.createDataFrame([(0, [big, 1]), (1, [big, 3]), (2, [big, 2]), (50, [big, 2])], "vec_id long, v array<long>")
-    got = [(r.vec_id, r.score) for r in mtree.top_k(df.where("vec_id < 3"), df.where("vec_id = 50"), 2).orderBy("rank").collect()] if 2**104 + 6 < 2**63 else None
-    assert got is None or got[0][0] == 1
+    """Scores beyond 2^53 are exact; beyond the 64-bit integers they count as the nearest of these."""
+    big = 2**30
+    df = spark.createDataFrame([(0, [big, 1]), (1, [big, 3]), (2, [big, 2]), (3, [-big, 0]), (50, [big, 2])], "vec_id long, v array<long>")
+    got = [(r.vec_id, r.score) for r in mtree.top_k(df, df.where("vec_id = 50"), 4).orderBy("rank").collect()]
+    assert got == [(1, 2**60 + 6), (2, 2**60 + 4), (0, 2**60 + 2), (3, -(2**60))]
+    rows = [(50, [1e30] * 64), (1, [1e8] * 64), (2, [2e8] * 64), (3, [-1e30] * 64), (4, [0.5] * 64), (100, [0.25] * 64)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", mtree.integers(F.col("embedding")).alias("v"))
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mtree.top_k(v, v.where("vec_id % 50 = 0"), 5).collect()}
+    most, least = 2**63 - 1, -(2**63)
+    assert [got[50, k] for k in range(1, 6)] == [(1, most), (2, most), (4, most), (100, most), (3, least)]
+    assert got[100, 1] == (50, most) and got[100, 2] == (2, 64 * 64 * 51_200_000_000) and got[100, 5] == (3, least)
+
+
+def test_top_k_leaves_cells_out(spark):
+    """On clustered vectors most cells, and most of the rest, are never looked at; the result is that of all scores."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(0, 400, (12, 16))
+    x = np.floor(centres[rng.integers(0, 12, 3000)] + rng.normal(0, 5, (3000, 16))).astype(np.int64)
+    norm2 = float((x.astype(float) ** 2).sum(axis=1).max()) + 1
+    points = mtree.lifted(x, norm2)
+    cells = mtree.Cells({16: mtree.far_first(points, 12)}, {16: 0}, norm2)
+    far = np.stack([mtree.distances(points, p) for p in cells.pivots[16]])
+    radius = {c: far[c][far.argmin(axis=0) == c].max() for c in range(12)}
+    visited = 0
+    for q in range(0, 3000, 50):
+        scores = x @ x[q]
+        fifth = int(np.sort(np.delete(scores, q))[-5])
+        visits = cells.may_hold(x[q], 16, fifth, radius)
+        visited += len(visits)
+        assert set(far.argmin(axis=0)[(scores >= fifth) & (np.arange(3000) != q)]) <= set(visits)
+    assert visited < 60 * 12 / 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<long>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mtree.top_k(df, df.where("vec_id % 50 = 0"), 5, shard=250, block=20).collect()}
+    for q in range(0, 3000, 50):
+        want = sorted((-int(s), j) for j, s in enumerate(x @ x[q]) if j != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == [(j, -s) for s, j in want]
 
 
 # --- 7 ----------------------------------------------------------------------------------------------------------------
