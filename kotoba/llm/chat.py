@@ -1,11 +1,12 @@
 """Operator 3: chat formatting by schema fingerprints, in DataFrame functions alone.
 
-A record's layout is known by its fingerprint: the hash of its nested field paths, sorted, without types. A registry
-maps fingerprints to declarative mappings, which turn prompt, instruction and message layouts into canonical turns
+A record's layout is known by its fingerprint: the hash of its nested field paths, sorted, without types. Paths that no
+known layout has (metadata, names of speakers) don't count. A registry maps fingerprints to declarative mappings, which turn prompt, instruction and message layouts into canonical turns
 array<struct<role, text>>. The template then writes the turns with marks, and escapes the beginnings of marks inside
 texts, so that the formatted string can be read back without loss.
 
-Defined results: a null text counts as empty; a null role is the empty role; an unknown layout gives null turns; a
+Defined results: a null text counts as empty; a null role is the empty role; an unknown layout gives null turns, as does
+a mixture of layouts; a text that is no string counts as its JSON; an empty list of messages gives no turns; a
 conversation without turns is the empty string; turns with the same number are ordered by role, then text; repeated
 rows are repeated turns; extra columns of a table of turns are not read.
 """
@@ -39,9 +40,13 @@ class Mapping:
     role: str = ""
     text: str = ""
 
+    def empty_paths(self) -> list[str]:
+        """The paths of a record whose list of messages is empty."""
+        return [self.messages, f"{self.messages}[]"] if self.messages else []
+
     def paths(self) -> list[str]:
         if self.messages:
-            return sorted([self.messages, f"{self.messages}[]", f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"])
+            return sorted([*self.empty_paths(), f"{self.messages}[].{self.role}", f"{self.messages}[].{self.text}"])
         return sorted([name for _, name in self.turns] + list(self.join))
 
 
@@ -81,7 +86,7 @@ def record_paths(record: Column) -> Column:
     fields = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
 
     def inner(name: Column) -> Column:
-        value = F.call_function("get_json_object", record, F.concat(F.lit("$."), name))
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), name, F.lit("']")))
         items = F.from_json(value, "array<string>")
         objects = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
         is_array = F.substring(F.ltrim(value), 1, 1) == "["
@@ -91,8 +96,13 @@ def record_paths(record: Column) -> Column:
     return F.when(tree.isNotNull(), F.array_sort(F.flatten(F.transform(fields, inner))))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.sha2(F.array_join(record_paths(record), "\n"), 256)
+def fingerprint(record: Column, mappings: tuple[Mapping, ...] | None = None) -> Column:
+    """The fingerprint of a JSON record by all its paths, or by those that some of the mappings has."""
+    paths = record_paths(record)
+    if mappings is not None:
+        known = F.array(*map(F.lit, sorted({p for m in mappings for p in m.paths()})))
+        paths = F.filter(paths, lambda p: F.array_contains(known, p))
+    return F.sha2(F.array_join(paths, "\n"), 256)
 
 
 def canonical_role(role: Column) -> Column:
@@ -102,9 +112,9 @@ def canonical_role(role: Column) -> Column:
 
 def turns_by(mapping: Mapping, record: Column) -> Column:
     """The canonical turns of a JSON record of the mapping's layout."""
-    get = lambda name: F.coalesce(F.get_json_object(record, f"$.{name}"), F.lit(""))
+    get = lambda name: F.coalesce(F.get_json_object(record, f"$['{name}']"), F.lit(""))
     if mapping.messages:
-        items = F.from_json(F.get_json_object(record, f"$.{mapping.messages}"), f"array<struct<{mapping.role}:string,{mapping.text}:string>>")
+        items = F.from_json(F.get_json_object(record, f"$['{mapping.messages}']"), f"array<struct<{mapping.role}:string,{mapping.text}:string>>")
         return F.transform(items, lambda x: F.struct(canonical_role(x[mapping.role]).alias("role"), F.coalesce(x[mapping.text], F.lit("")).alias("text"))).cast(TURNS)
     first, rest = mapping.turns[0], mapping.turns[1:]
     head = get(first[1])
@@ -119,10 +129,11 @@ def turns_by(mapping: Mapping, record: Column) -> Column:
 
 def canonical_turns(record: Column, mappings: tuple[Mapping, ...] = LAYOUTS) -> Column:
     """The canonical turns of a JSON record, by the mapping that its fingerprint selects; null if there is none."""
-    print_ = fingerprint(record)
+    print_ = fingerprint(record, mappings)
     out = F.lit(None).cast(TURNS)
     for mapping in mappings:
-        out = F.when(print_ == fingerprint_of(mapping.paths()), turns_by(mapping, record)).otherwise(out)
+        mine = [fingerprint_of(x) for x in (mapping.paths(), mapping.empty_paths()) if x]
+        out = F.when(print_.isin(*mine), turns_by(mapping, record)).otherwise(out)
     return out
 
 
@@ -131,11 +142,13 @@ TABLES: tuple[tuple[str, str, str, str], ...] = (("conv_id", "turn", "role", "te
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
-    """conv_id and turns of a table with a row for each turn. The layout is the first whose paths the schema has;
-    columns beyond them are not read. A conversation's rows come together by its id."""
-    has = {p for p in schema_paths(rows.schema)}
+    """conv_id and turns of a table with a row for each turn. The layout is that of the schema's fingerprint, by the paths
+    that some layout has; where extra columns are named as another layout's are, it is the first whose paths are all
+    there. Columns beyond the layout's are not read. A conversation's rows come together by its id."""
+    has = set(schema_paths(rows.schema))
     known = {fingerprint_of(list(names)): names for names in TABLES}
-    found = next((known[p] for p in (fingerprint_of([x for x in names if x in has]) for names in TABLES) if p in known), None)
+    print_ = fingerprint_of([x for x in has if any(x in names for names in TABLES)])
+    found = known.get(print_) or next((names for names in TABLES if has.issuperset(names)), None)
     if found is None:
         raise ValueError(f"no known layout of turns: {sorted(has)}")
     key, order, role, text = found

@@ -148,6 +148,11 @@ def test_chat_layouts(spark):
         ('{"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": null}]}', [("system", "s"), ("user", "")]),
         ('{"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}', [("user", "h"), ("assistant", "g")]),
         ('{"system": "", "prompt": "p", "response": "r"}', [("user", "p"), ("assistant", "r")]),
+        ('{"meta": {"prompt": 1}, "prompt": "p", "response": "r", "id.of": 3}', [("user", "p"), ("assistant", "r")]),
+        ('{"messages": [{"role": "user", "content": "u", "name": "n"}, {"content": "a", "role": "assistant"}], "meta": [{"role": 1}], "id": 7}', [("user", "u"), ("assistant", "a")]),
+        ('{"messages": [], "source": "s"}', []),
+        ('{"messages": [{"role": "user", "content": [{"type": "text", "text": "t"}]}]}', [("user", '[{"type":"text","text":"t"}]')]),
+        ('{"prompt": "p", "messages": []}', None),
         ('{"unknown": 1}', None),
         ("no json", None),
         (None, None),
@@ -174,6 +179,10 @@ def test_chat_round_trip_of_marks(spark):
         assert len(r.loss) == sum(role == "assistant" for _, role, _ in mine)
         assert r.formatted.count("<|im_start|>") == len(mine)
     assert chat.format_conversations(df.limit(0)).count() == 0
+    other = spark.createDataFrame([(1, 0, "human", "h", "x"), (1, 1, "gpt", "g", "x")], ["conversation_id", "position", "from", "value", "meta"])
+    assert [tuple(t) for t in chat.conversations_of(other).collect()[0].turns] == [("human", "h"), ("gpt", "g")]
+    clash = spark.createDataFrame([(1, 0, "user", "u", "x", 5)], ["conv_id", "turn", "role", "text", "value", "index"])
+    assert [tuple(t) for t in chat.conversations_of(clash).collect()[0].turns] == [("user", "u")]
     with pytest.raises(ValueError):
         chat.conversations_of(spark.createDataFrame([(1,)], "x int"))
 
