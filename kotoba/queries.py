@@ -16,7 +16,9 @@ from .functions.stopwords import STOPWORDS, remove_stopwords
 from .operators import dictionary, features
 from .plans.api import Segmenter, Tagger
 from .plans.nn import batches, candidates, viterbi_batch
+from .plans.rules import rule_network
 from .schema import POS_LABELS, postags
+from .sources.lines import as_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,11 +35,15 @@ LINES: tuple[tuple[int, str | None], ...] = (
     (-10, ""),
     (-11, None),
     (-12, "これ は ペン です が 猫 も いる です"),
+    (-13, "ｶﾞｷﾞﾊﾟｰﾃｨ１２！ か\u3099 e\u0301a\u0301\u0323"),
 )
 ENTRIES = ("東京", "東京都", "京都", "渋谷区", "ABAB", "C++", "(猫)", "the", "ation", "de la", "Ａ ")
 VOCABULARY = ("the", "th", "and", "an", "de", "der", "que", "東京", "東京都", "京都", "都", "で", "アイス")
 UNI = "東京都でのとすabcdefghijklmnop .,"
 DROP, TAKE = ("名詞", "助詞", "動詞"), ("名詞", "補助記号", "形状詞")
+#: What the network with weights set by hand knows.
+RULE_WORDS = {"the": "連体詞", "東京": "名詞", "東京都": "代名詞", "京都": None, "で": None, "python": "英単語", "ation": None, "ing": None, "de la": "英単語", "para": "接頭辞"}
+RULE_PARTICLES, RULE_PAIRS, RULE_AHEAD, RULE_MARKS = ("de", "と", "of", "und", "で"), ("qu", "ck", "がす", "ss", "en"), "xzé猫", ".,。s"
 #: A dyadic table, so that sums are exact in any order: transitions[next][prev].
 TRANSITIONS = tuple(tuple(((3 * a + 5 * b) % 8 - 4) / 4 for b in range(6)) for a in range(6))
 
@@ -250,7 +256,65 @@ def tag_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("x.words").cast("long").alias("n"), F.md5(F.array_join("x.postags", "|").cast("binary")).alias("md5"))
 
 
+def _by_rules(spark: SparkSession) -> Tagger:
+    return Tagger.of(spark, rule_network(RULE_WORDS, RULE_PARTICLES, RULE_PAIRS, RULE_AHEAD, RULE_MARKS))
+
+
+def _rule_words(lower: bool) -> Query:
+    """Words by the network with weights set by hand."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = texts(spark, sf_dir).where("text IS NOT NULL").select("doc_id", _by_rules(spark).words("text", lower).alias("w"))
+        return rows.select("doc_id", *digest(F.col("w")))
+
+    return run
+
+
+def _rule_tagging(lower: bool) -> Query:
+    """Words and labels by the network with weights set by hand."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = texts(spark, sf_dir).where("text IS NOT NULL").select("doc_id", _by_rules(spark).tagging("text", lower).alias("x"))
+        return rows.select("doc_id", *digest(F.col("x.words")), F.md5(F.array_join("x.postags", "|").cast("binary")).alias("labels_md5"))
+
+    return run
+
+
+def rule_postagging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of given tokens by the network with weights set by hand; null where a token is empty."""
+    rows = _words(spark, sf_dir).select("doc_id", _by_rules(spark).postagging("words", strict=False).alias("p"))
+    return rows.select("doc_id", F.array_join("p", "|").alias("postags"))
+
+
+def rule_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted words by the registered SQL function."""
+    _by_rules(spark).register("rule")
+    texts(spark, sf_dir).where("text IS NOT NULL").createOrReplaceTempView("rule_texts")
+    rows = spark.sql("SELECT doc_id, rule_extract(text, array('名詞', '補助記号')) AS x FROM rule_texts")
+    return rows.select("doc_id", F.array_join("x.words", "|").alias("words"), F.array_join("x.postags", "|").alias("postags"))
+
+
+def vocabulary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uni, bi, word = _by_rules(spark).vocabulary_sizes()
+    return spark.createDataFrame([(uni, bi, word)], "uni int, bi int, word int")
+
+
+def tagged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged text to JSON, read again as a case."""
+    rows = _words(spark, sf_dir).select("doc_id", as_json(labelled(F.col("words"))).alias("j"))
+    read = rows.select("doc_id", F.from_json("j", "words array<string>, postags array<string>").alias("x"))
+    return read.select("doc_id", F.array_join("x.words", "|").alias("words"), F.array_join("x.postags", "|").alias("postags"))
+
+
 QUERIES: dict[str, Query] = {
+    "rule_words": _rule_words(False),
+    "rule_words_lower": _rule_words(True),
+    "rule_tagging": _rule_tagging(False),
+    "rule_tagging_lower": _rule_tagging(True),
+    "rule_postagging": rule_postagging,
+    "rule_sql_functions": rule_sql_functions,
+    "vocabulary_sizes": vocabulary_sizes,
+    "tagged_json": tagged_json,
     "rstrip_space_map": rstrip_space_map,
     "chartype_histogram": chartype_histogram,
     "char_bigrams_end_marker": char_bigrams_end_marker,
@@ -344,7 +408,85 @@ SELECT doc_id, array_to_string(list_transform(z, lambda x: x[1]), ' ') AS words,
 _SPACES = "rtrim({}, " + _quoted(t.SPACES) + ")"
 _DROP, _TAKE = ("[" + ", ".join(map(_quoted, x)) + "]" for x in (DROP, TAKE))
 
+#: The forms that the texts hold which NFKC changes: wide ASCII, narrow kana with their voice marks, what is not composed.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0xFF61, 0xFFA0)))
+_KANA = "。「」、・ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン\u3099\u309a"
+_PLAIN = "".join(map(chr, range(0x21, 0x7F))) + _KANA
+_IGNORED = r"[\p{Mn}\p{Me}\p{Cf}\p{Lm}\p{Sk}.:·’'']*"
+_SIGMA = r"([\p{Lu}\p{Ll}\p{Lt}]" + _IGNORED + ")Σ(" + _IGNORED + r"(?:[^\p{L}]|$))"
+
+
+def _normal(x: str) -> str:
+    return f"translate(nfc_normalize(translate(rtrim({x}, {_quoted(t.SPACES)}), {_quoted(_WIDE + _NARROW)}, {_quoted(_PLAIN)})), 'İ ', 'I　')"
+
+
+def _lower(x: str) -> str:
+    return f"lower(regexp_replace(replace({x}, 'İ', 'I'), '{_SIGMA}', '\\1ς\\2', 'g'))"
+
+
+def _alnum(x: str) -> str:
+    return rf"regexp_full_match({x}, '[\p{{L}}\p{{N}}]+')"
+
+
+_LETTERS = f"normal AS (SELECT doc_id, text AS given, {_normal('text')} AS text FROM texts), two AS (SELECT doc_id, text, {_lower('text')} AS low FROM normal WHERE text <> ''), chars AS (SELECT doc_id, unnest(string_split(text, '')) AS cased, unnest(string_split(low, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM two)"
+
+
+def _rules_sql(lower: bool) -> str:
+    """The words by the rules: (doc_id, k, word)."""
+    most = max(map(len, RULE_WORDS))
+    ahead = "ch" + "".join(f" || coalesce(lead(ch, {k}) OVER w, '')" for k in range(1, most))
+    behind = " || ".join(f"coalesce(lag(ch, {k}) OVER w, '')" for k in range(most, 0, -1))
+    starts = " OR ".join(f"starts_with(g, {_quoted(x)})" for x in RULE_WORDS)
+    ends = " OR ".join(f"suffix(h, {_quoted(x)})" for x in RULE_WORDS)
+    pairs, follow = ("(" + ", ".join(map(_quoted, x)) + ")" for x in (RULE_PAIRS, RULE_AHEAD))
+    return f"""{_TEXTS}, {_LETTERS}, around AS (
+  SELECT doc_id, pos, {'ch' if lower else 'cased'} AS c, {_TYPE} AS k, {ahead} AS g, {behind} AS h, lag(ch) OVER w || ch AS pair, lead(ch) OVER w AS next FROM chars WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), begun AS (
+  SELECT doc_id, pos, c, CASE WHEN pos = 0 OR k <> lag(k) OVER w OR {starts} OR {ends} OR pair IN {pairs} OR next IN {follow} THEN 1 ELSE 0 END AS b FROM around WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), numbered AS (
+  SELECT doc_id, pos, c, sum(b) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM begun
+), words AS (
+  SELECT doc_id, k, string_agg(c, '' ORDER BY pos) AS word FROM numbered GROUP BY doc_id, k
+)"""
+
+
+def _labels_sql(words: str) -> str:
+    """The labels by the rules, of (doc_id, k, word)."""
+    marked = "right({}, 1) IN (" + ", ".join(map(_quoted, RULE_MARKS)) + ")"
+    own = " ".join(f"WHEN {_quoted(w)} THEN {_quoted(label)}" for w, label in RULE_WORDS.items() if label)
+    known = ", ".join(_quoted(w) for w, label in RULE_WORDS.items() if label)
+    return f"""labels AS (SELECT doc_id, k, word, CASE WHEN {marked.format('lag(word) OVER w')} THEN '接続詞' WHEN {marked.format('word')} THEN '補助記号' WHEN {marked.format('lead(word) OVER w')} THEN '副詞'
+  WHEN word IN ({known}) THEN CASE word {own} END WHEN word IN ({', '.join(map(_quoted, RULE_PARTICLES))}) THEN '助詞' WHEN {_alnum('word')} THEN '名詞' ELSE '未知語' END AS label
+  FROM {words} WINDOW w AS (PARTITION BY doc_id ORDER BY k))"""
+
+
+def _rule_words_sql(lower: bool) -> str:
+    return f"""WITH {_rules_sql(lower)} SELECT t.doc_id, count(word)::BIGINT AS n, md5(coalesce(string_agg(word, '|' ORDER BY k), '')) AS md5
+FROM texts t LEFT JOIN words w ON w.doc_id = t.doc_id WHERE text IS NOT NULL GROUP BY t.doc_id"""
+
+
+def _rule_tagging_sql(lower: bool) -> str:
+    return f"""WITH {_rules_sql(lower)}, {_labels_sql('words')} SELECT t.doc_id, count(word)::BIGINT AS n, md5(coalesce(string_agg(word, '|' ORDER BY k), '')) AS md5,
+md5(coalesce(string_agg(label, '|' ORDER BY k), '')) AS labels_md5 FROM texts t LEFT JOIN labels w ON w.doc_id = t.doc_id WHERE text IS NOT NULL GROUP BY t.doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "rule_words": _rule_words_sql(False),
+    "rule_words_lower": _rule_words_sql(True),
+    "rule_tagging": _rule_tagging_sql(False),
+    "rule_tagging_lower": _rule_tagging_sql(True),
+    "rule_postagging": f"""WITH {_WORDS}, given AS (SELECT doc_id, unnest(w) AS raw, generate_subscripts(w, 1) AS k FROM words),
+tokens AS (SELECT doc_id, k, CASE WHEN raw IN (' ', '　') THEN '　' ELSE {_normal('raw')} END AS word FROM given), {_labels_sql('tokens')}
+SELECT doc_id, CASE WHEN bool_and(word <> '') THEN string_agg(label, '|' ORDER BY k) END AS postags FROM labels GROUP BY doc_id""",
+    "rule_sql_functions": f"""WITH {_rules_sql(False)}, {_labels_sql('words')}, kept AS (SELECT * FROM labels WHERE label IN ('名詞', '補助記号'))
+SELECT t.doc_id, coalesce(string_agg(word, '|' ORDER BY k), '') AS words, coalesce(string_agg(label, '|' ORDER BY k), '') AS postags FROM texts t LEFT JOIN kept w ON w.doc_id = t.doc_id WHERE text IS NOT NULL GROUP BY t.doc_id""",
+    "vocabulary_sizes": f"SELECT len(list_distinct(string_split({_quoted(RULE_AHEAD + RULE_MARKS)}, '')))::INTEGER + 2 AS uni, {len(RULE_PAIRS)}::INTEGER + 2 AS bi, {len(RULE_WORDS)}::INTEGER + 2 AS word",
+    "tagged_json": f"""WITH {_WORDS}, parsed AS (SELECT doc_id, to_json({{'words': w, 'postags': list_transform(w, lambda x: {_LABELS}[length(x) % 24 + 1])}}) AS j FROM words)
+SELECT doc_id, array_to_string(j ->> '$.words[*]', '|') AS words, array_to_string(j ->> '$.postags[*]', '|') AS postags FROM parsed""",
+    "preprocess_nfkc": f"WITH {_TEXTS} SELECT doc_id, {_normal('text')} AS text FROM texts",
+    "lower_final_sigma": f"WITH {_TEXTS} SELECT doc_id, {_lower('text')} AS text FROM texts",
+    "isalnum": f"WITH {_WORDS}, each AS (SELECT unnest(w) AS word FROM words) SELECT word, count(*) AS n, {_alnum('word')} AS alnum FROM each GROUP BY word",
     "rstrip_space_map": f"WITH {_TEXTS} SELECT doc_id, translate({_SPACES.format('text')}, 'İ ', 'I　') AS text FROM texts",
     "chartype_histogram": f"WITH {_CHARS} SELECT k::INTEGER AS char_type, count(ch)::BIGINT AS n FROM range(6) r(k) LEFT JOIN (SELECT ch, {_TYPE} AS x FROM chars) ON x = k GROUP BY k",
     "char_bigrams_end_marker": f"WITH {_CHARS}, pairs AS (SELECT ch || coalesce(lead(ch) OVER (PARTITION BY doc_id ORDER BY pos), '<E>') AS bigram FROM chars) SELECT bigram, count(*) AS n FROM pairs GROUP BY bigram",
