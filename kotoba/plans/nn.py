@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 
@@ -110,18 +109,69 @@ def batches(lengths: list[int], limit: int = BATCH_CHARS) -> list[list[int]]:
     return out
 
 
-def char_types(text: str) -> list[int]:
-    def kind(c: str) -> int:
-        o = ord(c)
-        if 0x3040 <= o <= 0x309F:
-            return 0
-        if 0x30A1 <= o <= 0x30FA:
-            return 1
-        if 0x4E00 <= o <= 0x9FA5:
-            return 2
-        return 3 if c.isascii() and c.isalpha() else 4 if c.isascii() and c.isdigit() else 5
-
-    return [kind(c) for c in text]
+#: Code points, and what stands for the end of a text in a key of two of them.
+POINTS, LAST = 0x110000, 0x1FFFFF
+
+
+def _sorted(keys: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.fromiter(keys, np.int64, len(keys))
+    order = np.argsort(at)
+    return at[order], np.fromiter(keys.values(), np.int32, len(keys))[order]
+
+
+class Tables:
+    """The vocabularies as arrays over code points, so that whole batches are looked up at once: characters and their
+    types by their code points, pairs and the edges of a tree of words by sorted keys."""
+
+    def __init__(self, v: Vocabularies):
+        self.kinds = np.full(POINTS, 5, np.int8)
+        for kind, first, last in ((0, 0x3040, 0x309F), (1, 0x30A1, 0x30FA), (2, 0x4E00, 0x9FA5), (3, 65, 90), (3, 97, 122), (4, 48, 57)):
+            self.kinds[first : last + 1] = kind
+        self.uni = np.full(POINTS, v.uni["oov"], np.int32)
+        for c, i in v.uni.items():
+            if len(c) == 1:
+                self.uni[ord(c)] = i
+        pairs = {ord(k[0]) << 21 | (ord(k[1]) if len(k) == 2 else LAST): i for k, i in v.bi.items() if len(k) == 2 or (len(k) == 1 + len(END_MARK) and k.endswith(END_MARK))}
+        self.bi = _sorted(pairs or {-1: 0})
+        nodes: dict[str, int] = {"": 0}
+        edges: dict[int, int] = {}
+        for word in v.word:
+            for k in range(1, len(word) + 1 if len(word) <= MAX_WORD else 1):
+                if word[:k] not in nodes:
+                    nodes[word[:k]] = len(nodes)
+                    edges[nodes[word[: k - 1]] << 21 | ord(word[k - 1])] = nodes[word[:k]]
+        self.edges = _sorted(edges or {-1: 0})
+        self.ids = np.full(len(nodes), -1, np.int32)
+        for word, node in nodes.items():
+            self.ids[node] = v.word.get(word, -1)
+        self.ids[0] = -1
+        self.first = np.zeros(POINTS, np.int32)
+        roots = {key: node for key, node in edges.items() if key < 1 << 21}
+        self.first[list(roots)] = list(roots.values())
+
+    @staticmethod
+    def find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, none: int) -> np.ndarray:
+        known, values = table
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, values[at], none)
+
+    def words(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vocabulary words at all places: where they begin, their lengths and ids, the shorter ones first. ends: where the
+        text of each character ends."""
+        at = np.arange(len(points))
+        node = self.first[points]
+        starts, sizes, ids = [], [], []
+        for length in range(1, MAX_WORD + 1):
+            at, node = at[node > 0], node[node > 0]
+            word = self.ids[node]
+            hit = word >= 0
+            starts.append(at[hit])
+            sizes.append(np.full(len(starts[-1]), length))
+            ids.append(word[hit])
+            more = at + length < ends[at]
+            at, node = at[more], node[more]
+            node = self.find(self.edges, node.astype(np.int64) << 21 | points[at + length], 0)
+        return np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
 
 
 @dataclass
@@ -132,53 +182,48 @@ class Network:
     weights: dict[str, np.ndarray]
     tagger: bool = False
     _char_vectors: dict = field(default_factory=dict, repr=False)
-    _prefixes: set = field(default_factory=set, repr=False)
+    _tables: Tables | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         check_weights(self.weights, TAGGER_SHAPES if self.tagger else SEGMENTER_SHAPES)
         check_vocabularies(self.vocabularies, self.weights, self.tagger)
-        self._prefixes = {w[:k] for w in self.vocabularies.word for k in range(1, min(len(w), MAX_WORD) + 1)}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_char_vectors": {}}
+        return self.__dict__ | {"_char_vectors": {}, "_tables": None}
 
     def _sides(self, name: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         return [tuple(self.weights[f"/{name}/vanilla-lstm-builder{side}/_{k}"] for k in range(3)) for side in ("", "_1")]
 
     def inputs(self, lows: list[str]) -> np.ndarray:
         """The 200 features of each character of lower-cased texts, one text after the other."""
-        v, w = self.vocabularies, self.weights
-        uni, bi, kind, place = [], [], [], []
-        lists: tuple[list[list[int]], list[list[int]]] = ([], [])
-        get_uni, get_bi, get_word, prefixes, at = v.uni.get, v.bi.get, v.word.get, self._prefixes, 0
-        uni_oov, bi_oov, none = v.uni["oov"], v.bi["oov"], [v.word["oov"]]
-        for low in lows:
-            n = len(low)
-            uni += [PAD_ID, *[get_uni(c, uni_oov) for c in low], PAD_ID]
-            bi += [PAD_ID, *[get_bi(low[i : i + 2], bi_oov) for i in range(n - 1)], get_bi(low[-1] + END_MARK, bi_oov), PAD_ID]
-            kind += [PAD_TYPE, *char_types(low), PAD_TYPE]
-            place.append(np.arange(at, at + n))
-            at += n + 2
-            starts: list[list[int]] = [none] * n
-            ends: list[list[int]] = [none] * n
-            for i in range(n):
-                for j in range(i, min(n, i + MAX_WORD)):
-                    part = low[i : j + 1]
-                    if part not in prefixes:
-                        break
-                    if (found := get_word(part)) is not None:
-                        starts[i] = starts[i] + [found] if starts[i] is not none else [found]
-                        # the shorter word that ends here comes first
-                        ends[j] = [found] + ends[j] if ends[j] is not none else [found]
-            lists[0].extend(starts)
-            lists[1].extend(ends)
-        here = np.concatenate(place)
-        around = [table[np.array(ids)[here + d]] for table, ids in ((w["/_0"], uni), (w["/_1"], bi), (w["/_3"], kind)) for d in range(3)]
-        sums = []
-        for each in lists:
-            sizes = np.array(list(map(len, each)))
-            sums.append(np.add.reduceat(w["/_2"][list(chain.from_iterable(each))], np.cumsum(sizes) - sizes))
-        return np.concatenate([*around, *sums], axis=1)
+        if self._tables is None:
+            self._tables = Tables(self.vocabularies)
+        v, w, tables = self.vocabularies, self.weights, self._tables
+        points = np.frombuffer("".join(lows).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.array([len(x) for x in lows])
+        text = np.repeat(np.arange(len(lows)), sizes)
+        ends = np.cumsum(sizes)[text]
+        following = np.append(points[1:], LAST)
+        following[np.cumsum(sizes) - 1] = LAST
+        uni, bi, kind = tables.uni[points], tables.find(tables.bi, points << 21 | following, v.bi["oov"]), tables.kinds[points]
+        out = np.empty((len(points), 200), np.float32)
+        here, column = np.arange(len(points)) + 2 * text, 0
+        for table, ids, pad in ((w["/_0"], uni, PAD_ID), (w["/_1"], bi, PAD_ID), (w["/_3"], kind, PAD_TYPE)):
+            around = np.full(len(points) + 2 * len(lows), pad, np.int32)
+            around[here + 1] = ids
+            for d in range(3):
+                out[:, column : column + table.shape[1]] = table[around[here + d]]
+                column += table.shape[1]
+        start, size, word = tables.words(points, ends)
+        for place in (start, start + size - 1):
+            sums = out[:, column : column + 16]
+            sums[:] = w["/_2"][v.word["oov"]]
+            if len(place):
+                order = np.argsort(place, kind="stable")
+                found, first = np.unique(place[order], return_index=True)
+                sums[found] = np.add.reduceat(w["/_2"][word[order]], first)
+            column += 16
+        return out
 
     def tags(self, lows: list[str]) -> list[list[int]]:
         """BMES tags of lower-cased texts."""
@@ -242,9 +287,10 @@ def candidates(ids: list[int], noun: bool) -> list[int]:
     return list(found)
 
 
-def synthetic(seed: int = 0, tagger: bool = True) -> Network:
+def synthetic(seed: int = 0, tagger: bool = True, sample: str = "", more: int = 0) -> Network:
     """A network with random weights over a small vocabulary: for checks of arithmetic and for timing, not for real
-    words or labels."""
+    words or labels. With a sample, its characters and parts of up to four are in the vocabularies; `more` made-up pairs
+    and words join them."""
     from ..schema import POS_ID
 
     rng = np.random.default_rng(seed)
@@ -252,6 +298,13 @@ def synthetic(seed: int = 0, tagger: bool = True) -> Network:
     uni = {"oov": 0, "pad": 1} | {c: i + 2 for i, c in enumerate(letters)}
     bi = {"oov": 0, "pad": 1} | {a + b: i + 2 for i, (a, b) in enumerate((a, b) for a in letters[:60] for b in [*letters[:40], END_MARK])}
     some = ["東京", "東京都", "京都", "渋谷区", "python", "the", "of", "and", "de", "la", "der", "die", "で", "が", "ツール", "使える", "です", "簡単"]
+    if sample or more:
+        letters += sorted(set(sample) - set(letters))
+        uni = {"oov": 0, "pad": 1} | {c: i + 2 for i, c in enumerate(letters)}
+        some += sorted({sample[i : i + k] for i in range(len(sample)) for k in range(1, 5)} - set(some))
+        made = ["".join(chr(0x4E00 + x) for x in row) for row in rng.integers(0, 2000, (more, 3))]
+        some += sorted({m[: 2 + i % 2] for i, m in enumerate(made)})
+        bi = {"oov": 0, "pad": 1} | {p: i + 2 for i, p in enumerate(dict.fromkeys([*(sample[i : i + 2] for i in range(len(sample) - 1)), *list(bi)[2:], *(m[:2] for m in made)]))}
     word = {"oov": 0, "pad": 1} | {w: i + 2 for i, w in enumerate(some)}
     shapes = TAGGER_SHAPES if tagger else SEGMENTER_SHAPES
     sizes = {"/_0": len(uni), "/_1": len(bi), "/_2": len(word)}

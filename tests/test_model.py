@@ -282,3 +282,26 @@ def test_stream(spark, tmp_path):
     query = stream_json(stream_lines(spark, str(tmp_path / "in")), seg.words, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert sorted("".join(json.loads(x)) for f in (tmp_path / "out").glob("part*") for x in f.read_text().splitlines()) == ["x", "東京　タワー"]
+
+
+def test_features_of_whole_batches_are_those_of_single_places(net):
+    v, w = net.vocabularies, net.weights
+    lows = sorted(["東京都で使える", "oovpadthe", "a", "渋谷区の東京都民", "𠮷野家🙂the", "ツール", "the of and"], key=len, reverse=True)
+    rows = []
+    for low in lows:
+        uni = [1, *(v.uni.get(c, v.uni["oov"]) for c in low), 1]
+        bi = [1, *(v.bi.get(low[i : i + 2] if i + 1 < len(low) else low[i] + "<E>", v.bi["oov"]) for i in range(len(low))), 1]
+        kind = [6, *(0 if "ぁ" <= c <= "ゟ" else 1 if "ァ" <= c <= "ヺ" else 2 if "一" <= c <= "龥" else 3 if c.isascii() and c.isalpha() else 4 if c.isascii() and c.isdigit() else 5 for c in low), 6]
+        for i in range(len(low)):
+            starts = [low[i : i + k] for k in range(1, 9) if i + k <= len(low)]
+            ends = [low[i + 1 - k : i + 1] for k in range(1, 9) if k <= i + 1]
+            around = [table[ids[i + d]] for table, ids in ((w["/_0"], uni), (w["/_1"], bi), (w["/_3"], kind)) for d in range(3)]
+            sums = [sum((w["/_2"][j] for j in [v.word[x] for x in each if x in v.word] or [v.word["oov"]]), np.zeros(16, np.float32)) for each in (starts, ends)]
+            rows.append(np.concatenate([*around, *sums]))
+    assert np.allclose(net.inputs(lows), np.array(rows), atol=1e-6)
+
+
+def test_the_made_up_model_of_real_size():
+    large = nn.synthetic(3, True, "東京都で", 500)
+    assert {"東", "東京", "東京都", "東京都で"} <= set(large.vocabularies.word) and len(large.vocabularies.word) > 500
+    assert large.tags(["東京都で", ""])[1] == []
