@@ -14,6 +14,8 @@ from ..sources.model import SEGMENTER_SHAPES, TAGGER_SHAPES, Vocabularies, check
 #: Characters of a batch, the padding of its decoding included: bounds its memory.
 BATCH_CHARS = 65_536
 LOW = -1e10
+#: Paths that are traced one by one.
+FEW = 16
 BEGIN, END = 4, 5
 
 
@@ -29,11 +31,12 @@ def lstm(x: np.ndarray, lengths: np.ndarray, *sides: tuple[np.ndarray, np.ndarra
     forward = np.argsort(step, kind="stable")
     places = [forward, (starts + lengths - 1)[row[forward]] - step[forward]][: len(sides)]
     z = np.empty((len(sides), len(x), 4 * hidden), np.float32)
+    sign = np.repeat(np.array([-1, 1], np.float32), [3 * hidden, hidden])  # the gates need exp(-x)
     for k, ((wx, _, b), at) in enumerate(zip(sides, places, strict=True)):
         bias = b.copy()
         bias[hidden : 2 * hidden] += 1
-        z[k] = (x @ wx + bias)[at]
-    wh = np.stack([s[1] for s in sides])
+        z[k] = (x @ (wx * sign) + bias * sign)[at]
+    wh = np.stack([s[1] for s in sides]) * sign
     going = np.searchsorted(-lengths, -np.arange(lengths[0]) if len(lengths) else [], "left")
     c = np.zeros((len(sides), len(lengths), hidden), np.float32)
     states = np.empty((len(sides), len(x), hidden), np.float32)
@@ -43,7 +46,6 @@ def lstm(x: np.ndarray, lengths: np.ndarray, *sides: tuple[np.ndarray, np.ndarra
         if done:
             a += states[:, done - last : done - last + n] @ wh
         gates = a[:, :, : 3 * hidden]
-        np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
@@ -74,23 +76,33 @@ def viterbi_batch(emissions: np.ndarray, lengths: np.ndarray, transitions: np.nd
     rows, steps, states = emissions.shape
     score = np.full((rows, states), LOW)
     score[:, BEGIN] = 0
-    back = np.zeros((rows, steps, states), np.int8)
-    for t in range(steps):
-        n = int(np.searchsorted(-lengths, -t, "left"))
-        if n == 0:
-            break
-        options = score[:n, None, :] + transitions[None]
-        back[:n, t] = options.argmax(axis=2)
-        score[:n] = options.max(axis=2) + emissions[:n, t]
+    back = np.zeros((steps, rows, states), np.intp)
+    going = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
+    observed = np.ascontiguousarray(emissions.transpose(1, 0, 2))
+    for t, n in enumerate(going):
+        options = score[:n, None, :] + transitions
+        options.argmax(axis=2, out=back[t, :n])
+        np.add(options.max(axis=2), observed[t, :n], out=score[:n])
     at = (score + transitions[END]).argmax(axis=1)
+    if rows <= FEW:
+        return [_traced(back[:n, i].tolist(), k) for i, (n, k) in enumerate(zip(lengths.tolist(), at.tolist(), strict=True))]
     path = np.zeros((rows, steps), np.int8)
     for t in range(steps - 1, -1, -1):
-        live = lengths > t
-        path[live, t] = at[live]
-        at = np.where(live, back[np.arange(rows), t, at], at)
+        n = going[t]
+        path[:n, t] = at[:n]
+        at[:n] = back[t, np.arange(n), at[:n]]
     return [path[i, : lengths[i]].tolist() for i in range(rows)]
 
 
+def _traced(back: list[list[int]], at: int) -> list[int]:
+    """A path from its end, by the best predecessors of each step."""
+    path = []
+    for step in reversed(back):
+        path.append(at)
+        at = step[at]
+    return path[::-1]
+
+
 def cut(text: str, tags: list[int]) -> list[str]:
     """The words of a text by its tags: one begins at the start, at S (3), and after E (2) or S."""
     begins = [i for i, t in enumerate(tags) if i == 0 or t == 3 or tags[i - 1] in (2, 3)]
