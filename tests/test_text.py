@@ -11,6 +11,7 @@ from kotoba.functions import text as t
 from kotoba.functions import unicode as u
 from kotoba.functions.stopwords import STOPWORDS, remove_stopwords
 from kotoba.operators import dictionary as d
+from kotoba.operators import features
 from kotoba.schema import POS_LABELS, UnknownLabel, parse_label, postags
 
 BMES = [
@@ -146,3 +147,33 @@ def test_tokens(spark):
     assert [r[0] for r in df.select(t.normalize_tokens(F.col("w"), strict=False)).collect()] == [["　", "a　b", "　"], None, [], None]
     with pytest.raises(PySparkException, match="token 1 is empty"):
         df.select(t.normalize_tokens(F.col("w"))).collect()
+
+
+def _found(text, words, at_end):
+    """(place, word) of all words of a text, the shorter ones first, by looking at each place."""
+    hits = [(i + n - 1 if at_end else i, text[i : i + n]) for n in range(1, 9) for i in range(len(text) - n + 1) if text[i : i + n] in words]
+    return sorted(hits, key=lambda x: (x[0], len(x[1])))
+
+
+@pytest.mark.parametrize("at_end", [True, False])
+@pytest.mark.parametrize("lists", [True, False])
+def test_candidates_of_all_places_without_a_shuffle(spark, monkeypatch, at_end, lists):
+    monkeypatch.setattr(features, "GROUP_CHARS", 7)
+    rng = random.Random(at_end)
+    texts = [None, "", "a", "東京都東京", "x\0𠮷𠮷", "aaaaaaaaaaaa"] + ["".join(rng.choices("ab東京𠮷", k=rng.randrange(1, 30))) for _ in range(40)]
+    words = ["a", "aa", "ab", "ba", "aaaaaaaa", "aaaaaaaaa", "東京", "東京都", "京", "𠮷𠮷", "aa", "\0", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    vocabulary = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "key string, id int")
+    search = features.candidate_lists if lists else features.candidates
+    got = search(rows, "k", "t", vocabulary, [1, 2, 3, 8, 9], at_end)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    known = {w for w in words if w and len(w) <= 8}
+    want = []
+    for k, text in enumerate(texts):
+        hits = _found(text or "", known, at_end)
+        if lists:
+            want += [(k, i, [w for p, w in hits if p == i] or ["oov"]) for i in range(len(text or ""))]
+        else:
+            want += [(k, i, w, len(w)) for i, w in hits]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
