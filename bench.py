@@ -10,6 +10,7 @@ import time
 
 os.environ.setdefault("OMP_NUM_THREADS", "1")  # before NumPy: one thread a worker
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ def latency(net) -> dict[str, dict[str, list[float]]]:
 
     found: dict[str, dict[str, list[float]]] = {"words": {}, "words_and_pos": {}}
     for size in (20, 100, 400):
-        text = (SAMPLE * 8)[:size]
-        for name, call in (("words", lambda: segment(net, None, [text], False)), ("words_and_pos", lambda: net.label_ids(segment(net, None, [text], False)))):
+        column = pa.array([(SAMPLE * 8)[:size]])
+        for name, call in (("words", lambda: segment(net, None, column, False).lists()), ("words_and_pos", lambda: net.label_ids(segment(net, None, column, False).lists().to_pylist()))):
             each = []
             for _ in range(WARM + 100):
                 start = time.perf_counter()

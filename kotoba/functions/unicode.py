@@ -14,7 +14,6 @@ from .text import SPACES
 KNOWN_VERSIONS = ("15.0.0", "15.1.0")
 #: Alphanumeric since Unicode 15.1 only.
 LATER = range(0x2EBF0, 0x2EE5E)
-_MAP = str.maketrans({"İ": "I", " ": "　"})
 
 
 def check_version(version: str = unicodedata.unidata_version) -> None:
@@ -27,7 +26,7 @@ def normalize(text: str) -> str:
     text = text.rstrip(SPACES)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    return text.translate(_MAP)
+    return text.replace("İ", "I").replace(" ", "　")
 
 
 def lower_kept(text: str) -> str:
@@ -38,7 +37,7 @@ def lower_kept(text: str) -> str:
 
 def alnum(text: str) -> bool:
     """str.isalnum() of Unicode 15.0."""
-    return text.isalnum() and not any(ord(c) in LATER for c in text)
+    return text.isalnum() and (text.isascii() or not any(ord(c) in LATER for c in text))
 
 
 def _each(fn):

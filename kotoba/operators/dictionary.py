@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import _col, let, word_tags
 from ..functions.unicode import normalize
+from .features import POINTS, code_points
 
 
 def prepare(entries: Iterable[str]) -> list[str]:
@@ -30,6 +32,32 @@ class Trie:
             for c in word:
                 node = node.setdefault(c, {})
             node[self.END] = True
+        #: Characters with which words begin, and those that are words; pairs with which words begin, as keys.
+        self.first, self.single = np.zeros(POINTS, bool), np.zeros(POINTS, bool)
+        self.first[[ord(c) for c in self.root]] = True
+        self.single[[ord(c) for c, node in self.root.items() if self.END in node]] = True
+        self.second = np.array(sorted(ord(a) << 21 | ord(b) for a, node in self.root.items() for b in node if b), np.int64)
+
+    def all_spans(self, texts: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the found words of texts that stand one after the other."""
+        points, whole, stops = code_points(texts), "".join(texts), np.cumsum(lengths)
+        at = np.flatnonzero(self.first[points])
+        pair = points[at] << 21 | np.append(points, 0)[at + 1]
+        at = at[self.single[points[at]] | np.isin(pair, self.second)]
+        starts, sizes, free = [], [], 0
+        for i, stop in zip(at.tolist(), stops[np.searchsorted(stops, at, "right")].tolist(), strict=True):
+            if i < free:
+                continue
+            node, longest, j = self.root, 0, i
+            while j < stop and (node := node.get(whole[j])) is not None:
+                j += 1
+                if self.END in node:
+                    longest = j - i
+            if longest:
+                starts.append(i)
+                sizes.append(longest)
+                free = i + longest
+        return np.array(starts, np.int64), np.array(sizes, np.int64)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, length) of each found word, in code points."""
@@ -89,3 +117,25 @@ def force_tags(tags: list[int], found: list[tuple[int, int]]) -> list[int]:
         if end < len(out):
             out[end] = {1: 0, 2: 3}.get(out[end], out[end])
     return out
+
+
+def force_all(tags: np.ndarray, trie: Trie, texts: list[str], lengths: np.ndarray) -> np.ndarray:
+    """force_tags() for the tags of texts that stand one after the other."""
+    start, size = trie.all_spans(texts, lengths)
+    if not len(start):
+        return tags
+    end, stops = start + size, np.cumsum(lengths)
+    edge = np.zeros(len(tags) + 1, np.int8)
+    edge[start] += 1
+    np.subtract.at(edge, end, 1)
+    forced = np.cumsum(edge[:-1]) > 0
+    out = np.where(forced, 1, tags)
+    out[start], out[end - 1] = 0, 2
+    out[start[size == 1]] = 3
+    after = end[~np.isin(end, stops)]
+    after = after[~forced[after]]
+    out[after] = np.array([0, 0, 3, 3, 4, 5])[out[after]]
+    before = start[~np.isin(start, stops - lengths)] - 1
+    before = before[~forced[before]]
+    out[before] = np.array([3, 2, 2, 3, 4, 5])[out[before]]
+    return out

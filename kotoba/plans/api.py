@@ -6,16 +6,19 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WIDE_SPACE, drop_labels, take_labels
 from ..functions.unicode import check_version, lower_kept, normalize
-from ..operators.dictionary import Trie, force_tags
+from ..operators.dictionary import Trie, force_all
+from ..operators.features import code_points, groups
 from ..schema import POS_LABELS, TAGGED, WORDS, EmptyToken, KotobaError, parse_label, postags
 from ..sources.model import MAGIC, SEGMENTER_SHAPES, TAGGER_SHAPES, check_digest, read_vocabularies, read_weights
-from .nn import Network, cut, synthetic
+from .nn import Network, synthetic
 
 
 def _find(directory: str | Path, suffix: str) -> Path:
@@ -25,22 +28,76 @@ def _find(directory: str | Path, suffix: str) -> Path:
     return found[0]
 
 
+#: Characters of texts that are cut together (one longer text is a group of its own).
+GROUP_CHARS = 1 << 19
+#: Rows in an Arrow batch: bounds the memory of a batch of ordinary documents.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows, as a row may hold a long text. Plans read the setting when they run, so it stays; it is
+    only ever lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _strings(lists: list[list[str] | None]) -> pa.Array:
     return pa.array(lists, pa.list_(pa.field("element", pa.string(), nullable=False)))
 
 
-def segment(net: Network, trie: Trie | None, texts: list[str | None], lower: bool) -> list[list[str] | None]:
-    """Words of texts; None stays None, and the empty text has none."""
+def _lists(values: pa.Array, counts: np.ndarray, known: np.ndarray) -> pa.Array:
+    """Lists of so many values each, one after the other; null where not known."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, type=_strings([]).type, mask=pa.array(~known))
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The words of texts, one text after the other: how many each has, and whether it is one."""
+
+    words: pa.Array
+    counts: np.ndarray
+    known: np.ndarray
+
+    def lists(self) -> pa.Array:
+        return _lists(self.words, self.counts, self.known)
+
+
+def pieces(text: str, begins: np.ndarray) -> pa.Array:
+    """A text cut where a piece begins, of which one does at its start."""
+    data, at = text.encode(), np.flatnonzero(begins)
+    if len(data) > len(text):
+        points = code_points([text])
+        size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        at = (np.cumsum(size) - size)[at]
+    offsets = np.append(at, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def segment(net: Network, trie: Trie | None, column: pa.Array, lower: bool) -> Cut:
+    """Words of texts; the empty text has none."""
     check_version()
-    known = [i for i, t in enumerate(texts) if t is not None]
-    whole = [normalize(texts[i]) for i in known]
-    lows = [lower_kept(t) for t in whole]
-    out: list[list[str] | None] = [None] * len(texts)
-    for i, text, low, tags in zip(known, whole, lows, net.tags(lows), strict=True):
-        if trie and text:
-            tags = force_tags(tags, trie.spans(text))
-        out[i] = cut(low if lower else text, tags) if text else []
-    return out
+    texts = column.to_pylist()
+    counts, words = np.zeros(len(texts), np.int64), [pa.array([], pa.string())]
+    for a, b in groups(texts, GROUP_CHARS):
+        whole = [normalize(t) if t else "" for t in texts[a:b]]
+        some = [i for i, t in enumerate(whole) if t]
+        if not some:
+            continue
+        whole = [whole[i] for i in some]
+        lows = [lower_kept(t) for t in whole]
+        lengths = np.array([len(t) for t in lows])
+        starts = np.cumsum(lengths) - lengths
+        tags = net.flat_tags(lows)
+        if trie:
+            tags = force_all(tags, trie, whole, lengths)
+        begins = tags == 3
+        begins[1:] |= (tags[:-1] == 2) | (tags[:-1] == 3)
+        begins[starts] = True
+        counts[[a + i for i in some]] = np.add.reduceat(begins, starts, dtype=np.int64)
+        words.append(pieces("".join(lows if lower else whole), begins))
+    return Cut(pa.concat_arrays(words), counts, np.array([t is not None for t in texts], bool))
 
 
 def tokens(words: list[str], lower: bool) -> list[str]:
@@ -62,6 +119,7 @@ class Segmenter:
 
     @classmethod
     def of(cls, spark: SparkSession, net: Network):
+        bounded_batches(spark)
         return cls(spark, spark.sparkContext.broadcast(net))
 
     @classmethod
@@ -104,7 +162,7 @@ class Segmenter:
         model, trie = self.model, self._trie()
 
         def run(column: pa.Array) -> pa.Array:
-            return _strings(segment(model.value, trie, column.to_pylist(), lower))
+            return segment(model.value, trie, column, lower).lists()
 
         return F.arrow_udf(run, WORDS)(text)
 
@@ -114,7 +172,7 @@ class Segmenter:
 
         def function(lower: bool):
             def run(column: pa.Array) -> pa.Array:
-                return _strings(segment(model.value, trie, column.to_pylist(), lower))
+                return segment(model.value, trie, column, lower).lists()
 
             return F.arrow_udf(run, WORDS)
 
@@ -138,8 +196,7 @@ class Tagger(Segmenter):
         model, trie = self.model, self._trie()
 
         def run(column: pa.Array) -> pa.Array:
-            found = segment(model.value, trie, column.to_pylist(), lower)
-            return _tagged(model.value, found)
+            return _tagged(model.value, segment(model.value, trie, column, lower))
 
         return F.arrow_udf(run, TAGGED)(text)
 
@@ -161,7 +218,7 @@ class Tagger(Segmenter):
 
         def tagging(lower: bool):
             def run(column: pa.Array) -> pa.Array:
-                return _tagged(model.value, segment(model.value, trie, column.to_pylist(), lower))
+                return _tagged(model.value, segment(model.value, trie, column, lower))
 
             return F.arrow_udf(run, TAGGED)
 
@@ -173,13 +230,15 @@ class Tagger(Segmenter):
 
         def chosen(lower: bool, keep: bool):
             def run(column: pa.Array, labels: pa.Array) -> pa.Array:
-                found = _tagged(model.value, segment(model.value, trie, column.to_pylist(), lower)).to_pylist()
-                for row, some in zip(found, labels.to_pylist(), strict=True):
-                    some = {parse_label(x) for x in some or ()}
-                    if row is not None:
-                        pairs = [(w, p) for w, p in zip(row["words"], row["postags"], strict=True) if (p in some) == keep]
-                        row["words"], row["postags"] = [w for w, _ in pairs], [p for _, p in pairs]
-                return _pairs([x and x["words"] for x in found], [x and x["postags"] for x in found])
+                found = segment(model.value, trie, column, lower)
+                ids = _label_ids(model.value, found)
+                chosen = [frozenset(parse_label(x) for x in some or ()) for some in labels.to_pylist()]
+                kinds = {c: k for k, c in enumerate(dict.fromkeys(chosen))}
+                kept = np.array([[(p in c) == keep for p in POS_LABELS] for c in kinds], bool).reshape(-1, len(POS_LABELS))
+                row = np.repeat(np.arange(len(chosen)), found.counts)
+                stay = kept[np.array([kinds[c] for c in chosen], np.int64)[row], ids]
+                some = Cut(found.words.filter(pa.array(stay)), np.bincount(row[stay], minlength=len(chosen)), found.known)
+                return _pairs(some, ids[stay])
 
             return F.arrow_udf(run, TAGGED)
 
@@ -198,29 +257,40 @@ class Tagger(Segmenter):
 
 
 def _postags(net: Network, column: pa.Array, lower: bool, strict: bool) -> pa.Array:
-    made: list[list[str] | None] = []
-    for row in column.to_pylist():
+    flat = column.flatten().dictionary_encode()
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    spelt = flat.dictionary.to_pylist()
+    made: list[str] = []
+    for w in spelt:
         try:
-            made.append(None if row is None else tokens(row, lower))
+            made += tokens([w], lower)
         except KotobaError:
-            if strict:
-                raise
-            made.append(None)
-    known = [i for i, x in enumerate(made) if x is not None]
-    out: list[list[str] | None] = [None] * len(made)
-    for i, ids in zip(known, net.label_ids([made[i] for i in known]), strict=True):
-        out[i] = [POS_LABELS[k] for k in ids]
-    return _strings(out)
-
-
-def _pairs(words: list[list[str] | None], labels: list[list[str] | None]) -> pa.Array:
-    mask = pa.array([x is None for x in words])
-    return pa.StructArray.from_arrays([_strings(words), _strings(labels)], fields=[pa.field("words", _strings([]).type), pa.field("postags", _strings([]).type)], mask=mask)
-
-
-def _tagged(net: Network, found: list[list[str] | None]) -> pa.Array:
-    known = [i for i, x in enumerate(found) if x is not None]
-    labels: list[list[str] | None] = [None] * len(found)
-    for i, ids in zip(known, net.label_ids([found[i] for i in known]), strict=True):
-        labels[i] = [POS_LABELS[k] for k in ids]
-    return _pairs(found, labels)
+            made.append("")
+    row = np.repeat(np.arange(len(counts)), counts)
+    at = flat.indices.to_numpy(zero_copy_only=False)
+    if len(empty := np.flatnonzero(np.array([not w for w in made], bool)[at]) if len(at) else at):
+        if strict:
+            raise EmptyToken(int(empty[0] - (np.cumsum(counts) - counts)[row[empty[0]]]))
+        known[row[empty]] = False
+    stay = known[row]
+    counts = np.where(known, counts, 0)
+    words = pa.array(made, pa.string()).take(pa.array(at[stay]))
+    return _lists(_names(net.flat_labels(words, counts[counts > 0])), counts, known)
+
+
+def _names(ids: np.ndarray) -> pa.Array:
+    return pa.array(POS_LABELS, pa.string()).take(pa.array(ids.astype(np.int64)))
+
+
+def _label_ids(net: Network, found: Cut) -> np.ndarray:
+    return net.flat_labels(found.words, found.counts[found.counts > 0])
+
+
+def _pairs(found: Cut, ids: np.ndarray) -> pa.Array:
+    fields = [pa.field(name, _strings([]).type) for name in ("words", "postags")]
+    return pa.StructArray.from_arrays([found.lists(), _lists(_names(ids), found.counts, found.known)], fields=fields, mask=pa.array(~found.known))
+
+
+def _tagged(net: Network, found: Cut) -> pa.Array:
+    return _pairs(found, _label_ids(net, found))

@@ -305,3 +305,84 @@ def test_the_made_up_model_of_real_size():
     large = nn.synthetic(3, True, "東京都で", 500)
     assert {"東", "東京", "東京都", "東京都で"} <= set(large.vocabularies.word) and len(large.vocabularies.word) > 500
     assert large.tags(["東京都で", ""])[1] == []
+
+
+def _ruled():
+    from kotoba import queries as q
+    from kotoba.plans.rules import rule_network
+
+    return rule_network(q.RULE_WORDS, q.RULE_PARTICLES, q.RULE_PAIRS, q.RULE_AHEAD, q.RULE_MARKS)
+
+
+def _mixed_texts(seed, n=60):
+    import random
+
+    rng = random.Random(seed)
+    parts = ["the ", "ation", "東京都", "python", "de la", "para", "qu", "ss", "zé", "猫", ". ", "。", "12", "がす", "x", "𠮷", "İ", "ｶﾞ", "|", "\0", "Σ", " "]
+    return [None, "", " ", "a"] + ["".join(rng.choices(parts, k=rng.randrange(1, 60))) for _ in range(n)]
+
+
+def _sequential(net, words, texts, lower, labels):
+    """Words, or words and labels, text by text by the kernels that number nothing."""
+    from kotoba.functions.unicode import lower_kept, normalize
+    from kotoba.operators.dictionary import Trie, force_tags
+
+    out = []
+    for text in texts:
+        whole = normalize(text or "")
+        low = lower_kept(whole)
+        tags = net.tags([low])[0]
+        tags = force_tags(tags, Trie(words).spans(whole)) if words else tags
+        cut = nn.cut(low if lower else whole, tags) if whole else []
+        names = [s.POS_LABELS[k] for k in net.label_ids([cut])[0]]
+        out.append(None if text is None else {"words": cut, "postags": names} if labels else cut)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_automata_give_what_the_steps_give(monkeypatch, seed):
+    import pyarrow as pa
+
+    from kotoba.plans import api, automata
+
+    monkeypatch.setattr(automata, "PART", 7)
+    monkeypatch.setattr(automata, "WARM", 1 + seed)
+    monkeypatch.setattr(nn, "INPUTS", 50)
+    monkeypatch.setattr(api, "GROUP_CHARS", 90)
+    net, texts = _ruled(), _mixed_texts(seed)
+    column = pa.array(texts, pa.string())
+    for lower in (False, True):
+        for words in ((), ("東京", "de la", "the", "xx", "n12", "Ａ ")):
+            found = api.segment(net, api.Trie(words) if words else None, column, lower)
+            assert found.lists().to_pylist() == _sequential(net, words, texts, lower, False)
+            assert api._tagged(net, found).to_pylist() == _sequential(net, words, texts, lower, True)
+    assert net._recurs and net._compiled is not None
+
+
+def test_networks_whose_states_do_not_recur_go_on_by_steps(net):
+    import pyarrow as pa
+
+    from kotoba.operators.dictionary import Trie
+    from kotoba.plans import api
+
+    texts = _mixed_texts(9, 80)
+    words = ("東京", "de la", "ation")
+    found = api.segment(net, Trie(words), pa.array(texts, pa.string()), False)
+    assert found.lists().to_pylist() == _sequential(net, words, texts, False, False)
+    assert api._tagged(net, found).to_pylist() == _sequential(net, words, texts, False, True)
+    assert not net._recurs
+
+
+def test_given_tokens_of_slices_and_null_rows():
+    import pyarrow as pa
+
+    from kotoba.plans import api
+
+    rows = [["x"], None, [], ["the", " ", "猫", "the"], ["a", "\t", "b"], ["ｶﾞ", "de"]]
+    column = pa.array(rows, pa.list_(pa.string())).slice(1)
+    net = _ruled()
+    got = api._postags(net, column, False, False).to_pylist()
+    made = [None if r is None or "\t" in r else api.tokens(r, False) for r in rows[1:]]
+    assert got == [x if x is None else [s.POS_LABELS[k] for k in net.label_ids([x])[0]] for x in made]
+    with pytest.raises(s.EmptyToken, match="token 1"):
+        api._postags(net, column, False, True)
