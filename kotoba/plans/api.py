@@ -28,10 +28,10 @@ def _find(directory: str | Path, suffix: str) -> Path:
     return found[0]
 
 
-#: Characters of texts that are cut together (one longer text is a group of its own).
-GROUP_CHARS = 1 << 19
+#: Characters of texts that are cut together (one longer text is a group of its own), by automata and step by step.
+GROUP_CHARS, STEP_CHARS = 1 << 19, 1 << 23
 #: Rows in an Arrow batch: bounds the memory of a batch of ordinary documents.
-BATCH_ROWS = 1000
+BATCH_ROWS = 2000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -80,7 +80,7 @@ def segment(net: Network, trie: Trie | None, column: pa.Array, lower: bool) -> C
     check_version()
     texts = column.to_pylist()
     counts, words = np.zeros(len(texts), np.int64), [pa.array([], pa.string())]
-    for a, b in groups(texts, GROUP_CHARS):
+    for a, b in groups(texts, GROUP_CHARS if net.recurs() else STEP_CHARS):
         whole = [normalize(t) if t else "" for t in texts[a:b]]
         some = [i for i, t in enumerate(whole) if t]
         if not some:

@@ -349,6 +349,7 @@ def test_automata_give_what_the_steps_give(monkeypatch, seed):
     monkeypatch.setattr(automata, "WARM", 1 + seed)
     monkeypatch.setattr(nn, "INPUTS", 50)
     monkeypatch.setattr(api, "GROUP_CHARS", 90)
+    monkeypatch.setattr(nn, "GROUP_WORDS", 30)
     net, texts = _ruled(), _mixed_texts(seed)
     column = pa.array(texts, pa.string())
     for lower in (False, True):
@@ -359,13 +360,16 @@ def test_automata_give_what_the_steps_give(monkeypatch, seed):
     assert net._recurs and net._compiled is not None
 
 
-def test_networks_whose_states_do_not_recur_go_on_by_steps(net):
+@pytest.mark.parametrize("part, warm", [(2048, 256), (40, 40), (16, 2)])
+def test_networks_whose_states_do_not_recur_go_on_by_steps(monkeypatch, part, warm):
     import pyarrow as pa
 
     from kotoba.operators.dictionary import Trie
-    from kotoba.plans import api
+    from kotoba.plans import api, steps
 
-    texts = _mixed_texts(9, 80)
+    monkeypatch.setattr(steps, "PART", part)
+    monkeypatch.setattr(steps, "WARM", warm)
+    net, texts = nn.synthetic(1), _mixed_texts(9, 80)
     words = ("東京", "de la", "ation")
     found = api.segment(net, Trie(words), pa.array(texts, pa.string()), False)
     assert found.lists().to_pylist() == _sequential(net, words, texts, False, False)
