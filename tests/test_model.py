@@ -377,6 +377,28 @@ def test_networks_whose_states_do_not_recur_go_on_by_steps(monkeypatch, part, wa
     assert not net._recurs
 
 
+@pytest.mark.parametrize("wide, rows", [(384, 1024), (5, 12), (1, 3)])
+def test_steps_of_some_sequences_at_a_time_give_the_whole_network(monkeypatch, net, wide, rows):
+    from kotoba.plans import steps
+
+    monkeypatch.setattr(steps, "WIDE", wide)
+    monkeypatch.setattr(steps, "ROWS", rows)
+    rng = np.random.default_rng(wide)
+    lengths = np.array([1, 40, 3, 3, 17, 1, 9, 200, 2, 3, 17, 5])
+    features, x = rng.normal(0, 0.3, (50, 200)).astype(np.float32), rng.integers(0, 50, lengths.sum())
+    w, sides = net.weights, net._sides("birnn")
+    sorted_by = np.argsort(-lengths, kind="stable")
+    each = np.split(x, np.cumsum(lengths)[:-1])
+    states = nn.lstm(features[np.concatenate([each[i] for i in sorted_by])], lengths[sorted_by], *sides)
+    expected = np.split(states @ w["/_5"] + w["/_6"], np.cumsum(lengths[sorted_by])[:-1])
+    found = np.split(steps.scores(features, x, lengths, sides, w["/_5"], w["/_6"]), np.cumsum(lengths)[:-1])
+    for k, i in enumerate(sorted_by):
+        np.testing.assert_allclose(found[i], expected[k], atol=2e-5)
+    size = lengths[sorted_by]
+    assert [n for t, count, n in steps.stretches(size) for _ in range(count)] == [int((size > t).sum()) for t in range(size[0])]
+    assert all(count * n <= max(n, rows) for _, count, n in steps.stretches(size))
+
+
 def test_given_tokens_of_slices_and_null_rows():
     import pyarrow as pa
 
