@@ -29,7 +29,7 @@ def _find(directory: str | Path, suffix: str) -> Path:
 
 
 #: Characters of texts that are cut together (one longer text is a group of its own), by automata and step by step.
-GROUP_CHARS, STEP_CHARS = 1 << 19, 1 << 23
+GROUP_CHARS, STEP_CHARS = 1 << 19, 1 << 22
 #: Rows in an Arrow batch: bounds the memory of a batch of ordinary documents.
 BATCH_ROWS = 2000
 
