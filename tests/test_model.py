@@ -412,3 +412,13 @@ def test_given_tokens_of_slices_and_null_rows():
     assert got == [x if x is None else [s.POS_LABELS[k] for k in net.label_ids([x])[0]] for x in made]
     with pytest.raises(s.EmptyToken, match="token 1"):
         api._postags(net, column, False, True)
+
+
+def test_new_words_are_spelt_some_at_a_time(monkeypatch, net):
+    words = ["x", "東京都", "a" * 70, "the", "𠮷野家", "ツール", *(f"w{i}" for i in range(60))]
+    each = np.concatenate([net.word_vectors([w]) for w in words])
+    sizes, whole = [], nn.lstm
+    monkeypatch.setattr(nn, "BATCH_CHARS", 50)
+    monkeypatch.setattr(nn, "lstm", lambda x, *more: sizes.append(len(x)) or whole(x, *more))
+    np.testing.assert_allclose(net.word_vectors(words), each, atol=1e-6)
+    assert sorted(n for n in sizes if n > 50) == [70] and len(sizes) > 6
