@@ -82,7 +82,10 @@ def rule_network(words: Mapping[str, str | None], particles: Iterable[str], pair
         weights["/_0"][uni[c], 1] = 1
     weights["/_1"][2:, 0] = 1
     weights["/_2"][2:, 0] = 1
-    weights["/_2"][0, 15] = 1
+    # "oov" and "pad" are keys, and so found in texts that spell them, but no words by the rules: where one of them ends
+    # next to a word, the word counts
+    weights["/_2"][:2, 15] = 1
+    weights["/_2"][2:, 15] = -1
     given = sorted({x for x in words.values() if x})
     for w, label in words.items():
         if label:

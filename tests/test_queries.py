@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from common import SF
 
@@ -15,6 +16,18 @@ def test_agrees_with_sql(agree, name):
     agree(q.QUERIES[name], q.ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name", sorted(x for x in q.ORACLE_SQL if x.startswith("rule_")))
+def test_rules_agree_with_sql_where_texts_spell_the_special_keys(spark, tmp_path, name):
+    texts = ["èquepadghc et", "PAD pad. padpad", "xoovb OOV oov", "paddle the padthe thepad", "repad", None, "", "pad", "oov"]
+    rows = [(i, x) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = q.QUERIES[name](spark, str(tmp_path))
+    want = duck.execute(f"SELECT {', '.join(found.columns)} FROM ({q.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_every_sql_has_a_query():
     assert set(q.ORACLE_SQL) <= set(q.QUERIES)
 
